@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +65,14 @@ def partitions(spark: SparkSession) -> int:
 def lower_ascii(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def cut_batches(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices with about `most` bytes in a text column, or one longer text; they bound what a
+    vectorised step holds at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    edges = (np.flatnonzero(np.diff(part)) + 1).tolist()
+    for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import decontaminate, quality, simhash_dedup
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
