@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash_dedup
+from . import decontaminate, quality, simhash_dedup, topk, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_topk": topk.op2_topk,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.OP1_SQL,
+    "op2_topk": topk.OP2_SQL,
+}
