@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash_dedup, topk, url_filter
+from . import decontaminate, quality, simhash_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_topk": topk.op2_topk,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_warc": warc.op4_warc,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
