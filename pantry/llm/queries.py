@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, sentencepiece_viterbi, simhash_dedup, topk, url_filter, warc
+from . import chunk_dedup, decontaminate, line_dedup, quality, sentencepiece_viterbi, simhash_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_warc": warc.op4_warc,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_chunk_dedup": chunk_dedup.op7_chunk_dedup,
     "op8_sentencepiece": sentencepiece_viterbi.op8_sentencepiece,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
