@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_batches, table
 
-LEAST, MOST, BITS = 8, 256, 5
+LEAST, MOST, BITS = 16, 256, 5
 LAST = 2**63 - 1
 
 
