@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontaminate, line_dedup, quality, sentencepiece_viterbi, simhash_dedup, topk, url_filter, warc
+from . import chunk_dedup, decontaminate, line_dedup, quality, sentencepiece_viterbi, simhash_dedup, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chunk_dedup": chunk_dedup.op7_chunk_dedup,
     "op8_sentencepiece": sentencepiece_viterbi.op8_sentencepiece,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
