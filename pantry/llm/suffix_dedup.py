@@ -108,7 +108,7 @@ class RunLengthIndex:
         n = len(text)
         here = np.arange(n)
         order, rank = self._sorted(text, end - here)
-        self.text = np.concatenate([text, np.full(16, SEAM, np.uint8)])
+        self.words = _words(np.concatenate([text, np.full(7 + 8, SEAM, np.uint8)]))
         self.end = end
         bwt = text[order - 1]
         change = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
@@ -120,7 +120,8 @@ class RunLengthIndex:
         run_sizes = self.stops - self.starts + 1
         self.to = np.empty(len(change), np.int64)  # where each run's first row goes
         self.to[by_char] = np.cumsum(run_sizes[by_char]) - run_sizes[by_char]
-        self.of_char = [np.flatnonzero(self.chars == c) for c in range(256)]
+        self.by_char = by_char
+        self.char_keys = self.chars[by_char].astype(np.int64) * len(change) + by_char  # rising
         # intervals of rows that agree in `length` bytes and their earliest owner
         whole = end - here - 1 >= length
         key = rank(length)
@@ -141,15 +142,14 @@ class RunLengthIndex:
         cut = np.minimum(left, 8)
         word |= np.where(cut < 8, np.uint64(2**64 - 1) >> (8 * cut.astype(np.uint64) % np.uint64(64)), np.uint64(0))  # what lies behind a seam counts as seam
 
-        def ranked(a: np.ndarray, b: np.ndarray | None = None):
-            order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
-            x, y = a[order], None if b is None else b[order]
-            new = x[1:] != x[:-1] if y is None else (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        def ranked(key: np.ndarray) -> np.ndarray:
+            order = np.argsort(key)
+            key = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(new)))
-            return order, rank
+            rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+            return rank
 
-        order, rank = ranked(word)
+        rank = ranked(word)
         ranks = {8: rank}
         width = 8
         longest = int(left.max(initial=0))
@@ -161,15 +161,15 @@ class RunLengthIndex:
             return out
 
         while width < longest:
-            order, rank = ranked(rank, shifted(rank, width))
+            rank = ranked(rank * (n + 1) + shifted(rank, width))
             width *= 2
             ranks[width] = rank
 
         def prefix_rank(length: int) -> np.ndarray:
             base = max(w for w in ranks if w <= length)
-            return ranks[base] if base == length else ranked(ranks[base], shifted(ranks[base], length - base))[1]
+            return ranks[base] if base == length else ranked(ranks[base] * (n + 1) + shifted(ranks[base], length - base))
 
-        return order, prefix_rank
+        return np.argsort(rank * n + np.arange(n)), prefix_rank
 
     def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bytes, `most` at most, in which the suffixes at a and b agree."""
@@ -177,11 +177,19 @@ class RunLengthIndex:
         out = np.zeros(len(a), np.int64)
         open_ = np.flatnonzero(most > 0)
         while len(open_):
-            same = self.text[a[open_] + out[open_]] == self.text[b[open_] + out[open_]]
+            differ = self.words[a[open_] + out[open_]] ^ self.words[b[open_] + out[open_]]
+            same = differ == 0
+            rest = differ[~same]
+            first = np.zeros(len(rest), np.int64)  # the first of the 8 bytes that differs
+            for shift in (32, 16, 8):
+                high = rest >> np.uint64(64 - shift) == 0
+                first[high] += shift // 8
+                rest = np.where(high, rest << np.uint64(shift), rest)
+            out[open_[~same]] += first
             open_ = open_[same]
-            out[open_] += 1
+            out[open_] += 8
             open_ = open_[out[open_] < most[open_]]
-        return out
+        return np.minimum(out, np.maximum(most, 0))
 
     def statistics(self, strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Streams the strings backwards, side by side: for each step (which strings, position in
@@ -197,21 +205,17 @@ class RunLengthIndex:
             c = flat[base[who] + sizes[who] - 1 - t]
             run = np.searchsorted(self.starts, row[who], "right") - 1
             off = np.flatnonzero(self.chars[run] != c)
-            for char in np.unique(c[off]):
-                own = off[c[off] == char]
-                w, of = who[own], self.of_char[char]
-                if not len(of):
-                    match[w] = -1  # the byte is nowhere: the next match starts anew
-                    continue
-                after = np.searchsorted(of, run[own])
-                up, down = of[np.maximum(after - 1, 0)], of[np.minimum(after, len(of) - 1)]
-                from_up = np.where(after > 0, self._agree(place[w], self.last[up], match[w]), -1)
-                from_down = np.where(after < len(of), self._agree(place[w], self.first[down], match[w]), -1)
+            if len(off):
+                w, want = who[off], c[off].astype(np.int64)
+                after = np.searchsorted(self.char_keys, want * len(self.starts) + run[off])
+                up, down = self.by_char[np.maximum(after - 1, 0)], self.by_char[np.minimum(after, len(self.by_char) - 1)]
+                from_up = np.where((after > 0) & (self.chars[up] == want), self._agree(place[w], self.last[up], match[w]), -1)
+                from_down = np.where((after < len(self.by_char)) & (self.chars[down] == want), self._agree(place[w], self.first[down], match[w]), -1)
                 higher = from_up >= from_down
-                run[own] = np.where(higher, up, down)
+                run[off] = np.where(higher, up, down)
                 row[w] = np.where(higher, self.stops[up], self.starts[down])
                 place[w] = np.where(higher, self.last[up], self.first[down])
-                match[w] = np.maximum(from_up, from_down)
+                match[w] = np.maximum(from_up, from_down)  # -1: the byte is nowhere, the next match starts anew
             good = match[who] >= 0
             w, r = who[good], run[good]
             row[w] = self.to[r] + row[w] - self.starts[r]
