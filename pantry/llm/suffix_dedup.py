@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -333,7 +334,7 @@ def shared_names(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((out_doc, np.array(more_doc, np.int64)))), pa.array(np.concatenate((out_name, np.array(more_name, np.int64))))], ["doc", "name"])
 
     sent = _text_rows(docs).mapInArrow(emit, "name long, doc long, known boolean")
-    dealt = sent.repartition(F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("name"))).sortWithinPartitions("known", "name", "doc")
+    dealt = sent.repartition(F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("name"))).sortWithinPartitions("name")
     return dealt.mapInArrow(meet, "doc long, name long")
 
 
@@ -356,14 +357,33 @@ def _once(rows: Iterator[tuple]) -> list[tuple]:
     return [(name, data if doc == least[data] else None, doc, tag, start, start + len(data)) for name, data, doc, tag, start in rows]
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_bytes: int = 1 << 20) -> DataFrame:
-    """docs(doc_id, text) -> a stored table (doc, tag, start, stop) of byte spans to remove, which may
-    overlap; doc is the doc_id, the greatest long for null, and tag is xxhash64 of the text."""
+def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_bytes: int = 1 << 20, passes: int = 2) -> DataFrame:
+    """docs(doc_id, text) -> a table (doc, tag, start, stop) of byte spans to remove, which may
+    overlap; doc is the doc_id, the greatest long for null, and tag is xxhash64 of the text.
+    Segments take several times the room of the text that they cover, so names are dealt with in
+    `passes` parts, and the shuffle of one part is gone before the next."""
     spark = docs.sparkSession
     names = stored(shared_names(docs, length), "names")
     forget(spark)
     listed = names.groupBy("doc").agg(F.collect_set("name").alias("names"))
-    rows = _text_rows(docs).withColumn("tag", F.xxhash64("text")).join(listed, "doc").select("doc", "text", "tag", "names")
+    rows = stored(_text_rows(docs).withColumn("tag", F.xxhash64("text")).join(listed, "doc").select("doc", "text", "tag", "names"), "named")
+    del listed
+    forget(spark, names)
+    parts = []
+    for part in range(passes):
+        parts.append(stored(_spans_of_part(rows, part, passes, length, most, index_bytes), "spans"))
+        forget(spark)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    forget(spark, rows)
+    spans = found.where("segment IS NULL").select("doc", "tag", "start", "stop")
+    left = found.where("segment IS NOT NULL")
+    return spans if left.isEmpty() else spans.union(_single_strings(left, length))
+
+
+def _spans_of_part(rows: DataFrame, part: int, passes: int, length: int, most: int, index_bytes: int) -> DataFrame:
+    """Spans, their segment null; and the segments of names that have too many of them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -375,6 +395,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_
                 edges = np.searchsorted(who, np.arange(len(datas) + 1))
                 for i in range(len(datas)):
                     wanted[edges[i] : edges[i + 1]] = np.isin(name[edges[i] : edges[i + 1]], lists[i].values.to_numpy())
+                wanted &= name % passes == part
                 doc, tag = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 picked = zip(*(x[wanted].tolist() for x in (who, start, n, name)))
                 yield _segments(_once((h, datas[i][a : a + k + length - 1], doc[i], tag[i], a) for i, a, k, h in picked))
@@ -388,12 +409,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_
         def spans(rows: list[tuple]) -> pa.RecordBatch:
             return _segments([(None, None, doc, tag, a, b) for doc, tag, a, b in judged(rows, length)])
 
-        for batch in batches:
+        for whole in batches:
+            known = whole.column(1).is_null()
+            yield whole.filter(known)
+            batch = whole.filter(pc.invert(known))
             out = []
             for h, data, doc, tag, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if data is None:
-                    out.append((None, None, doc, tag, a, b))
-                    continue
                 if h != name:
                     held, now, name, over = held + now, [], h, False
                     if size >= index_bytes:
@@ -414,12 +435,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_
 
     sent = rows.mapInArrow(cut, _SEGMENT)
     dealt = sent.repartition(F.when(F.col("segment").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("name"))).sortWithinPartitions("name")
-    found = stored(dealt.mapInArrow(index, _SEGMENT), "spans")
-    spans = found.where("segment IS NULL").select("doc", "tag", "start", "stop")
-    left = found.where("segment IS NOT NULL")
-    forget(spark)
-    if left.isEmpty():
-        return spans
+    return dealt.mapInArrow(index, _SEGMENT)
+
+
+def _single_strings(left: DataFrame, length: int) -> DataFrame:
+    """The spans of segments, string by string."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,7 +461,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_
 
     single = left.mapInArrow(strings, _SEGMENT).repartition(F.when(F.col("segment").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("name")))
     rest = stored(single.sortWithinPartitions("segment", "doc").mapInArrow(meet, _SEGMENT), "spans")
-    return spans.union(rest.select("doc", "tag", "start", "stop"))
+    return rest.select("doc", "tag", "start", "stop")
 
 
 _SPANS = "array<struct<start: int, stop: int>>"
