@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -39,7 +39,7 @@ MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words, and pairs of pieces, that a worker remembers from one slice to the next.
+#: Words of one generation (two are kept), and pairs of pieces, that a worker remembers.
 REMEMBERED = 200_000
 
 
@@ -98,7 +98,8 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
-        self._own: dict[str, bool] = {}
+        self.recent: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
 
     # text and words
@@ -123,10 +124,18 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, piece: str) -> bool:
-        if piece not in self._own:
-            self._own[piece] = self.merged(piece) == [piece]
-        return self._own[piece]
+    @cached_property
+    def endings(self) -> dict:
+        """A trie of the reversed pieces that are their own encoding, as no other can come out of
+        merging; a piece stands in its last node under an empty key."""
+        root: dict = {}
+        for p in self.ids:
+            if self.merged(p) == [p]:
+                node = root
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[""] = p
+        return root
 
     def compatible(self, a: str, b: str) -> bool:
         got = self._pairs.get((a, b))
@@ -145,18 +154,27 @@ class Model:
     def _bpe_states(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         last: list[str] = [""]  # last[i]: the last piece of the encoding of word[:i]
         before = ""
-        ids, longest, pairs = self.ids, self.longest, self._pairs
+        endings, pairs = self.endings, self._pairs
         for word in words:
             del last[len(commonprefix((before, word))) + 1 :]
             for end in range(len(last), len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if (piece in ids and self.stands(piece)) or start == end - 1:
-                        if start == 0:
-                            break
-                        ok = pairs.get((last[start], piece))
-                        if self.compatible(last[start], piece) if ok is None else ok:
-                            break
+                piece = word[end - 1]
+                start, node, found = end, endings, []
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    if "" in node:
+                        found.append((start, node[""]))
+                for start, one in reversed(found):
+                    if start == 0:
+                        piece = one
+                        break
+                    ok = pairs.get((last[start], one))
+                    if self.compatible(last[start], one) if ok is None else ok:
+                        piece = one
+                        break
                 last.append(piece)
             before = word
             yield word, last
@@ -198,14 +216,22 @@ class Model:
 
     # whole texts
 
-    def encode(self, texts: list[str | None], memory: dict[str, bytes] | None = None) -> list[np.ndarray]:
-        """memory: ids of words from earlier calls; it is emptied when it has grown too large."""
-        memory = {} if memory is None else memory
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Words of earlier calls are remembered for a while: those of two generations, of which the
+        former goes when the recent one is full."""
         cut = [_WORDS.findall(self.normalised(t or "")) for t in texts]
-        new = sorted({w for words in cut for w in words if w not in memory})
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = sorted({w for words in cut for w in words})
+        words = set().union(*cut)
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.former = {}, self.recent
+        memory, former = self.recent, self.former
+        new = []
+        for word in words:
+            if word not in memory:
+                if word in former:
+                    memory[word] = former[word]
+                else:
+                    new.append(word)
+        new.sort()
         for word, ids in zip(new, self.encode_sorted(new)):
             memory[word] = np.array(ids, np.int32).tobytes()
         return [np.frombuffer(b"".join([memory[w] for w in words]), np.int32) for words in cut]
@@ -232,6 +258,12 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def _model(data: bytes) -> Model:
+    """One model, with what it remembers, for all tasks of a worker."""
+    return Model(data)
+
+
 def load_model(path: str = MODEL_FILE) -> bytes:
     """The model file, read on the driver; a vocabulary's size does not grow with the data."""
     with open(path, "rb") as f:
@@ -243,11 +275,11 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = Model(shared.value), {}
+        model = _model(shared.value)
         for whole in batches:
             for batch in cut_batches(whole, 1, 4 << 20):
                 texts = batch.column(1).to_pylist()
-                ids = model.encode(texts, memory)
+                ids = model.encode(texts)
                 same = [model.decode(x) == (t or "") for x, t in zip(ids, texts)]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -262,7 +294,7 @@ def decode_documents(encoded: DataFrame, model_file: str = MODEL_FILE) -> DataFr
     shared = encoded.sparkSession.sparkContext.broadcast(load_model(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        model = _model(shared.value)
         for batch in batches:
             texts = [model.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
