@@ -21,6 +21,11 @@ UNIT_FORMS = {
 
 LENGTH_UNITS = ("centimeter", "centimetre", "cm", "in", "inch", "inches", "millimeter", "millimetre", "mm")
 DIMENSIONS = ("diameter", "inch-long", "inch-thick", "length", "long", "thick", "thickness", "wide", "width")
+SIZES = (
+    "big", "bite-size", "bite-sized", "extra-large", "jumbo", "large", "lg", "little", "md", "medium", "medium-large", "medium-size",
+    "medium-sized", "medium-small", "medium-to-large", "miniature", "regular", "slim", "sm", "small", "small-to-medium", "smaller",
+    "smallest", "thick", "thin", "tiny",
+)
 AMBIGUOUS_UNIT_STEMS = ("cloves", "leaves", "slabs", "wedges", "ribs")
 STRING_NUMBERS = {
     "one-quarter": "1/4", "one-half": "1/2", "three-quarter": "3/4", "three-quarters": "3/4", "one": "1", "two": "2", "three": "3", "four": "4",

@@ -10,7 +10,8 @@ from . import constants as C
 _MARKS = r"()\[\]{},/:;?!*~"
 PIECES = rf"(?U)[{_MARKS}]|[^\s{_MARKS}]+"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_FLOAT = r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|[+-]?(?i:inf|infinity|nan)"
+_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
+_FLOAT = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|[+-]?(?i:inf|infinity|nan)"
 
 
 def _col(c: Column | str) -> Column:
@@ -34,16 +35,17 @@ def tokenize(sentence: Column | str) -> Column:
 
 
 def is_numeric(token: Column | str) -> Column:
-    """Numbers, marked fractions, number words, ranges of them, `dozen`, and numbers with a last x."""
+    """Marked fractions, number words, `dozen`, numbers, numbers with a last x, and any of these, but
+    with no sign, joined by hyphens."""
     t = _col(token)
+    fraction = r"\p{Nd}*#\p{Nd}+\$\p{Nd}+"
     words = "|".join(C.STRING_NUMBERS)
-    part = rf"(?:{_FLOAT}|\p{{Nd}}*#\p{{Nd}}+\$\p{{Nd}}+)"
-    number = t.rlike(rf"^(?:{_FLOAT})$")
-    fraction = t.rlike(r"^\p{Nd}*#\p{Nd}+\$\p{Nd}+(?:-\p{Nd}*#\p{Nd}+\$\p{Nd}+)?$")
-    word = F.lower(t).rlike(rf"^(?:{words}|dozen)$")
-    ranged = t.rlike(rf"^(?:{part}(?:-{part})+)$")
-    times = t.rlike(rf"^(?:{part})x$")
-    return (t != "00") & (number | fraction | word | ranged | times)
+
+    def single(p: Column) -> Column:
+        return (p != "00") & p.rlike(rf"^(?:(?:{_FLOAT})x?|{fraction}|dozen|(?i:{words}))$")
+
+    whole = t.rlike(rf"^(?:{fraction}(?:-{fraction})?|(?i:{words}))$")
+    return F.when(whole, True).when(F.contains(t, F.lit("-")), F.forall(F.split(t, "-"), single)).otherwise(single(t))
 
 
 def singular(token: Column | str) -> Column:
@@ -63,7 +65,7 @@ def is_unit(token: Column | str) -> Column:
 
 
 def is_dimension(token: Column | str) -> Column:
-    return _col(token).isin(*C.DIMENSIONS)
+    return F.lower(_col(token)).isin(*C.DIMENSIONS)
 
 
 def is_ambiguous_unit(token: Column | str) -> Column:

@@ -34,7 +34,7 @@ def test_tokenize(spark):
 @pytest.mark.parametrize(
     ("function", "yes", "no"),
     [
-        (T.is_numeric, ["1", "1.5", "1_000", "nan", "#1$2", "1#1$2-2#1$2", "1-2", "two", "Dozen", "8x", "one-half", "1e3"], ["00", "1d", "cup", "x", "", "a-b", "1-"]),
+        (T.is_numeric, ["1", "1.5", "1_000", "nan", "#1$2", "1#1$2-2#1$2", "1-2", "two", "dozen", "8x", "one-half", "1e3", "one-two", "2x-3x", "One-Half", "+5", "٣"], ["00", "1d", "cup", "x", "", "a-b", "1-", "Dozen", "-5", "1e-5", "00-1", "#1$2x"]),
         (T.is_unit, ["cup", "Cup", "g", "oz"], ["cups", "inch", "flour"]),
         (T.is_punctuation, [",", "()", "--"], ["a", ",("]),
         (T.is_ambiguous_unit, ["clove", "Leaves", "gram"], ["cup", "GRAM"]),
