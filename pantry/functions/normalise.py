@@ -7,6 +7,7 @@ without an ampersand never leave it.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,12 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, step: Callable[[Column], Column]) -> Column:
+    """step(c) where the step looks at its column more than once: the value is computed once, and the
+    expression does not grow with the number of looks."""
+    return F.get(F.transform(F.array(c), step), F.lit(0))
+
+
 def remove_prices(c: Column) -> Column:
     marks = "|".join("\\" + m if m == "$" else m for m in C.CURRENCIES)
     return F.regexp_replace(c, rf"(?U)\(\s*(?:{marks})\s*[0-9.,]+\**\s*\)", "")
@@ -108,7 +115,7 @@ def merge_unit_ranges(c: Column) -> Column:
         same = (u == v) | F.coalesce(table[u] == table[v], F.lit(False))
         return F.when(same & F.array_contains(words, u), F.replace(text, m["g1"], F.concat(m["g2"], F.lit("-"), m["g4"], F.lit(" "), u))).otherwise(text)
 
-    return F.aggregate(F.arrays_zip(*groups), c, step)
+    return F.when(F.regexp_like(c, pattern), F.aggregate(F.arrays_zip(*groups), c, step)).otherwise(c)
 
 
 def merge_quantity_x(c: Column) -> Column:
@@ -133,5 +140,5 @@ def normalise(sentence: Column | str) -> Column:
     """All steps in their order; a null sentence stays null."""
     c = _column(sentence)
     for step in STEPS:
-        c = step(c)
+        c = bound(c, step) if step in (mark_fractions, merge_unit_ranges) else step(c)
     return c

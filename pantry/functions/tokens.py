@@ -29,7 +29,8 @@ def tokenize(sentence: Column | str) -> Column:
         joins = (token == "or") & (n >= 2) & (F.coalesce(F.get(done, n - 1), F.lit("")) == "/") & (F.coalesce(F.get(done, n - 2), F.lit("")) == "and")
         return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(F.lit("and/or")))).otherwise(F.concat(done, F.array(token)))
 
-    joined = F.when(F.array_contains(pieces, "or") & F.array_contains(pieces, "/"), F.aggregate(pieces, empty, join)).otherwise(pieces)
+    whole = lambda p: F.when(F.array_contains(p, "or") & F.array_contains(p, "/"), F.aggregate(p, empty, join)).otherwise(p)
+    joined = F.get(F.transform(F.array(pieces), whole), F.lit(0))
     split = F.transform(joined, lambda t: F.when(F.endswith(t, F.lit(".")) & (F.length(t) > 1) & ~t.rlike(r"(?U)\.\w\.$"), F.array(t.substr(F.lit(1), F.length(t) - 1), F.lit("."))).otherwise(F.array(t)))
     return F.flatten(split)
 
