@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
+from ..functions import features as X
+from ..functions import tagging as G
 from ..functions import tokens as T
+from ..functions import units as U
 from ..operators import retrieval as R
 from ..operators import sequences as S
 from ..streaming import events as E
@@ -72,13 +76,50 @@ def tumbling(spark, sf_dir):
     return E.tumbling(_table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def unit_conversion(spark, sf_dir):
+    """Quantities as cups, ounces and tablespoons, in millilitres or by water's density in grams."""
+    source = F.element_at(F.array(*[F.lit(u) for u in ("cup", "oz", "tbsp")]), F.col("l_linenumber") % 3 + 1)
+    target = F.when(F.col("l_linenumber") % 2 == 0, "ml").otherwise("g")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", source.alias("source"), target.alias("target"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(U.convert("l_quantity", "source", "target"), 4).alias("value"))
+
+
+def numeric_tokens(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenize("text").alias("t"))
+    return turns.select("conv_id", "turn", F.size(F.filter(F.col("t"), T.is_numeric)).cast("long").alias("numbers"))
+
+
+def tags(spark, sf_dir):
+    """Tags of all words of the conversations by capitals, rules and overrides; the lexicon is an input
+    that is not among the tables."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenize("text").alias("t"))
+    given = turns.withColumn("p", G.apply_rules("t", F.transform("t", G.default_tag)))
+    each = given.select(F.explode(G.override_tags("t", "p")).alias("tag"))
+    return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_counts(spark, sf_dir):
+    """How often each kind of feature stands in the conversations' tokens."""
+    turns = _table(spark, sf_dir, "conversations").select(T.tokenize("text").alias("t"))
+    given = turns.withColumn("p", G.override_tags("t", G.apply_rules("t", F.transform("t", G.default_tag))))
+    each = given.select(F.explode(F.flatten(X.sentence_features("t", "p"))).alias("feature"))
+    return each.groupBy(F.substring_index("feature", ":", 1).alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 QUERIES = {
     "q_vocabulary": vocabulary, "q_token_attributes": token_attributes, "q_bm25": bm25, "q_token_weights": token_weights, "q_cosine": cosine,
     "q_islands": islands, "q_spread_flags": flags, "q_evaluation": evaluation, "q_tumbling": tumbling,
+    "q_unit_conversion": unit_conversion, "q_numeric_tokens": numeric_tokens, "q_tags": tags, "q_feature_counts": feature_counts,
 }
 _PIECES = r"regexp_extract_all(text, '[()\[\]{},/:;?!*~]|[^\s()\[\]{},/:;?!*~]+')"
 _SPLIT = rf"flatten(list_transform({_PIECES}, lambda t: CASE WHEN ends_with(t, '.') AND length(t) > 1 AND NOT regexp_matches(t, '\.[\pL\pN_]\.$') THEN [t[:length(t) - 1], '.'] ELSE [t] END))"
+_FLOAT = r"([+-]?(\p{Nd}+(_\p{Nd}+)*\.?(\p{Nd}+(_\p{Nd}+)*)?|\.\p{Nd}+(_\p{Nd}+)*)([eE][+-]?\p{Nd}+(_\p{Nd}+)*)?|[+-]?(?i:inf|infinity|nan))x?"
+_WORDS = "(?i:" + "|".join(C.STRING_NUMBERS) + ")"
+_MARKED = r"\p{Nd}*#\p{Nd}+\$\p{Nd}+"
+_ONE = rf"(%s <> '00' AND regexp_full_match(%s, '{_FLOAT}|{_MARKED}|dozen|{_WORDS}'))"
+_NUMERIC = rf"""(regexp_full_match(x, '{_MARKED}(-{_MARKED})?|{_WORDS}') OR (contains(x, '-') AND len(list_filter(string_split(x, '-'), lambda y: NOT {_ONE % ("y", "y")})) = 0)
+    OR (NOT contains(x, '-') AND {_ONE % ("x", "x")}))"""
 ORACLE_SQL = {
     "q_vocabulary": f"SELECT token, count(*) AS n FROM (SELECT unnest({_SPLIT}) AS token FROM documents) GROUP BY token",
     "q_token_attributes": f"""
@@ -122,4 +163,13 @@ SELECT conv_id, turn, max(long) OVER (PARTITION BY conv_id, k) AS any_long FROM
 SELECT lang, count(*) AS n, round(avg(CASE WHEN (n_chars > 300)::INTEGER = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
     "q_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "q_unit_conversion": """
+WITH f(k, kind, factor) AS (VALUES (0, 'volume', 0.2365882365::DOUBLE), (1, 'mass', 28.349523125::DOUBLE), (2, 'volume', 0.01478676478125::DOUBLE)),
+v AS (SELECT l_orderkey, l_linenumber, kind, l_linenumber % 2 = 0 AS ml, l_quantity * factor AS base FROM lineitem JOIN f ON k = l_linenumber % 3)
+SELECT l_orderkey, l_linenumber,
+  round(CASE WHEN kind = 'volume' AND ml THEN base / 0.001::DOUBLE WHEN kind = 'mass' AND ml THEN base / 1000 / 0.001::DOUBLE WHEN kind = 'volume' THEN base * 1000 ELSE base END, 4) AS value
+FROM v""",
+    "q_numeric_tokens": rf"""
+WITH t AS (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations)
+SELECT conv_id, turn, len(list_filter(t, lambda x: {_NUMERIC})) AS numbers FROM t""",
 }
