@@ -11,8 +11,8 @@ all occurrences of one string meet, and then indexed piece by piece:
    sends a name that several of its documents hold once, however often it occurs.
 3. The segments under the names that are left are dealt out by name. Copies of a segment within a
    slice of a task are answered there; one of them is sent.
-4. Segments that differ under one name go into an index, some megabytes at a time: suffixes are
-   sorted, the Burrows-Wheeler transform is kept as runs with the text positions of the rows at
+4. Segments that differ under one name go into an index, some megabytes at a time, cut to the
+   strings whose hash occurs twice among them (no others can be found): suffixes are sorted, the Burrows-Wheeler transform is kept as runs with the text positions of the rows at
    both ends of each, and intervals of rows that agree in `length` bytes keep their earliest
    document. Matching statistics of each segment are streamed through it backwards: while the
    transform has the segment's next byte the row follows, otherwise it jumps to the nearest run end
@@ -240,6 +240,33 @@ class RunLengthIndex:
         return (np.concatenate(which), np.concatenate(where)) if which else (np.zeros(0, np.int64),) * 2
 
 
+def _with_company(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, stop): each string that has `length` bytes whose hash occurs more than once,
+    from the first of these to the last one's end."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    words = _words(np.frombuffer(bytes([SEAM]).join(strings), np.uint8))
+    n = len(words) - (length - 8)
+    h = np.zeros(n, np.uint64)
+    factor = 0x9E3779B97F4A7C15
+    for at in (*range(0, length - 8, 8), length - 8):
+        h += words[at : at + n] * np.uint64(factor)
+        factor = (factor * factor + 0x94D049BB133111EA) % 2**64 | 1
+    count = np.maximum(sizes - length + 1, 0)
+    string = np.repeat(np.arange(len(strings)), count)
+    at = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+    h = h[np.repeat(starts, count) + at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    found = np.zeros(len(h), bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    string, at = string[found], at[found]
+    head = np.flatnonzero(np.concatenate(([True], string[1:] != string[:-1]))[: len(string)])
+    tail = np.append(head[1:], len(string))[: len(head)] - 1
+    return string[head], at[head], at[tail] + length
+
+
 def _spans_of(which: np.ndarray, where: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Marks as spans (string, start, end), neighbours together."""
     if not len(which):
@@ -260,10 +287,12 @@ def judged(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
         under.setdefault(name, set()).add(data)
     mixed = sorted({s for many in under.values() if len(many) > 1 for s in many}, key=lambda s: (owner[s], s))
     marked: dict[bytes, list[tuple[int, int]]] = {}
-    if mixed:
-        owners = np.array([owner[s] for s in mixed], np.int64)
-        for i, a, b in _spans_of(*RunLengthIndex(mixed, owners, length).marks(mixed, owners), length):
-            marked.setdefault(mixed[i], []).append((a, b))
+    which, starts, stops = _with_company(mixed, length) if mixed else ((),) * 3
+    if len(which):
+        cut = [mixed[i][a:b] for i, a, b in zip(which, starts, stops)]
+        owners = np.array([owner[mixed[i]] for i in which], np.int64)
+        for i, a, b in _spans_of(*RunLengthIndex(cut, owners, length).marks(cut, owners), length):
+            marked.setdefault(mixed[which[i]], []).append((a + int(starts[i]), b + int(starts[i])))
     out = []
     for _, data, doc, tag, start in rows:
         if doc > owner[data]:
