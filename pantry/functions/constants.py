@@ -42,6 +42,14 @@ UNIT_SYNONYMS = (
     ("c", "cup"), ("g", "gm", "gram"), ("kg", "kilogram"), ("l", "liter", "litre"), ("ounce", "oz"), ("lb", "pound"), ("qt", "quart"),
     ("tablespoon", "tb", "tbs", "tbsp"), ("teaspoon", "tsp"),
 )
+STOP_WORDS = frozenset("""
+a about above after again against all am an and any are aren't as at be because been before being below between but by can couldn't did didn't do
+does doesn't doing don't down during each few for from further had hadn't has hasn't have haven't having he her here hers herself him himself his
+how i if in into is isn't it it's its itself just me mightn't more most mustn't my myself needn't no nor not now of off on once only or other our
+ours ourselves out over own same shan't she she's should should've shouldn't so some such than that that'll the their theirs them themselves then
+there these they this those through to too under until up very was wasn't we were weren't what when where which while who whom why will with won't
+wouldn't you you'd you'll you're you've your yours yourself yourselves
+""".split())
 SENTENCE_LENGTH_BUCKETS = (1, 2, 4, 8, 12, 16, 20, 32, 64)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 
 import pandas as pd
@@ -69,7 +69,7 @@ def trimmed(idx: Sequence[int], words: Sequence[str]) -> list[int]:
 
 def shown(word: str) -> str:
     """A marked fraction as it is read: #1$2 -> 1/2, 1#1$2 -> 1 1/2."""
-    return word.replace("#", " ").replace("$", "/").strip() if _FRACTION.fullmatch(word) else word
+    return plain(word) if _FRACTION.fullmatch(word) else word
 
 
 def tidy(text: str) -> str:
@@ -85,16 +85,36 @@ def distinct_neighbours(parts: Sequence[str]) -> list[int]:
     return [i for i, x in enumerate(parts) if x != (parts[i + 1] if i + 1 < len(parts) else "")]
 
 
-def rendered(idx: Sequence[int], words: Sequence[str], scores: Sequence[float], between: str = ", ") -> tuple[str, float, int] | None:
-    """Text, mean score to six places and first index of the runs in `idx`; null where nothing is left."""
-    parts = [p for p in (trimmed(run, words) for run in runs(idx)) if p]
-    texts = [" ".join(shown(words[i]) for i in p) for p in parts]
+def plain(text: str) -> str:
+    """Text with its marked fractions as they are read; a range's hyphen takes no space."""
+    return text.replace("#", " ").replace("$", "/").strip().replace("- ", "-")
+
+
+def rendered(
+    idx: Sequence[int], words: Sequence[str], scores: Sequence[float], between: str = ", ", labels: Sequence[str] | None = None,
+    stop_words: frozenset[str] = frozenset(), used: set[int] | None = None, show: Callable[[int], str] | None = None,
+) -> tuple[str, float, int] | None:
+    """Text, score to six places and first index of the runs in `idx`; null where nothing is left. The
+    score is the mean of the runs' means. Runs that are a stop word, or all PUNC if there are labels, are
+    left out; indices of the others are added to `used`."""
+    texts, means = [], []
+    starts = [idx[-1]] if idx else []
+    for run in runs(idx):
+        part = trimmed(run, words)
+        if not part or (labels is not None and all(labels[i] == "PUNC" for i in part)):
+            continue
+        text = " ".join(show(i) if show else shown(words[i]) for i in part)
+        if text.lower() in stop_words:
+            continue
+        if used is not None:
+            used.update(part)
+        texts.append(text)
+        means.append(float(sum(Fraction(float(scores[i])) for i in part) / len(part)))
+        starts.append(part[0])
     kept = distinct_neighbours(texts)
     if not kept:
         return None
-    used = [i for k in kept for i in parts[k]]
-    mean = sum(Fraction(float(scores[i])) for i in used) / len(used)
-    return tidy(between.join(texts[k] for k in kept)), round(float(mean), 6), used[0]
+    return tidy(between.join(texts[k] for k in kept)), round(float(sum(Fraction(means[k]) for k in kept) / len(kept)), 6), min(starts)
 
 
 def name_groups(labels: Sequence[str]) -> list[list[int]]:
@@ -143,6 +163,30 @@ def number(text: str) -> Fraction | None:
         return None
 
 
+def by_last_tag(groups: Sequence[Sequence[int]], labels: Sequence[str], tags: Sequence[str]) -> list[list[int]]:
+    """Names that end, but for PUNC, in a determiner, preposition or adjective go before the next one."""
+    out: list[list[int]] = []
+    held: list[int] = []
+    for group in groups:
+        held = [*held, *group]
+        last = next((tags[i] for i in reversed(held) if labels[i] != "PUNC"), None)
+        if last not in ("DT", "IN", "JJ"):
+            out.append(held)
+            held = []
+    return [*out, held] if held else out
+
+
+def without_repeats(found: Sequence[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Of equal texts one, at the first one's place; each repeat halves the way to its own score."""
+    out: dict[str, tuple[str, float, int]] = {}
+    for text, score, first in found:
+        if text in out:
+            _, other, before = out[text]
+            score, first = round(float((Fraction(other) + Fraction(score)) / 2), 6), min(before, first)
+        out[text] = (text, score, first)
+    return list(out.values())
+
+
 _PHRASE = "text:string,confidence:double,first:int"
 
 

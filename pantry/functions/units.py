@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,28 @@ REGIONAL = {
     "jp": {"cup": 0.2},
     "imperial": {"gallon": 4.54609, "quart": 1.1365225, "pint": 0.56826125, "cup": 0.284130625, "fluid_ounce": 0.0284130625},
 }
+# Units that have a name of their own in another system.
+ALTERNATIVES = {
+    "imperial": {
+        "cup": "imperial_cup", "fluid_ounce": "imperial_fluid_ounce", "quart": "imperial_quart", "pint": "imperial_pint", "gallon": "imperial_gallon",
+        "tablespoon": "imperial_tablespoon", "teaspoon": "imperial_teaspoon", "ounce": "imperial_ounce", "pound": "imperial_pound",
+    },
+    "metric": {"cup": "metric_cup", "tablespoon": "metric_tablespoon", "teaspoon": "metric_teaspoon"},
+    "australian": {"cup": "metric_cup", "pint": "aus_pint", "tablespoon": "aus_tablespoon", "teaspoon": "metric_teaspoon"},
+    "japanese": {"cup": "jp_cup", "tablespoon": "metric_tablespoon", "teaspoon": "metric_teaspoon"},
+    "us_customary": {},
+}
+# Spellings that mean a unit, and words that are no unit of measure though they look like one.
+SPELLINGS = {
+    "fl oz": "floz", "fluid oz": "fluid_ounce", "fl ounce": "fluid_ounce", "fluid ounce": "fluid_ounce", "C": "cup", "c": "cup", "qt": "quart",
+    "Cl": "centiliter", "G": "gram", "Ml": "milliliter", "Mm": "millimeter", "Pt": "pint", "Tb": "tablespoon",
+}
+NO_MEASURE = ("pinch", "pinches", "bar", "bars", "link", "links", "shake", "shakes", "tin", "tins", "unit", "units", "fat")
+FULL = {
+    "l": "liter", "litre": "liter", "ml": "milliliter", "mL": "milliliter", "millilitre": "milliliter", "cl": "centiliter", "cL": "centiliter", "dl": "deciliter",
+    "g": "gram", "kg": "kilogram", "mg": "milligram", "m": "meter", "metre": "meter", "cm": "centimeter", "centimetre": "centimeter", "mm": "millimeter",
+    "millimetre": "millimeter",
+}
 WATER = 1000.0  # kg / m3
 
 # Parts of a unit's name that tell its system.
@@ -30,6 +54,33 @@ CUSTOMARY_PARTS = (
 )
 
 
+_SPELLED = re.compile(r"\b(" + "|".join(SPELLINGS) + r")\b")
+
+
+def resolved(unit: str, system: str = "us_customary") -> str | None:
+    """The name of a volume, mass or length unit in a system; None for other units and text."""
+    if "-" in unit or unit.lower() in NO_MEASURE:
+        return None
+    name = _SPELLED.sub(lambda m: SPELLINGS[m[1]], unit)
+    name = SHORT.get(name, FULL.get(name, name))
+    known = name in VOLUMES or name in MASSES or name in LENGTHS
+    return ALTERNATIVES[system].get(name, name) if known else None
+
+
+def system_of(unit: str) -> str:
+    """As unit_system, of one unit."""
+    if unit == "":
+        return "none"
+    name = unit
+    for mark in ("imperial_", "metric_", "aus_", "jp_"):
+        name = name.replace(mark, "")
+    told = next((p.lower() for p in name.split() if p.lower() in METRIC_PARTS + CUSTOMARY_PARTS), None)
+    if told is None:
+        return "other"
+    marked = (("imperial_", "imperial"), ("metric_", "metric"), ("aus_", "australian"), ("jp_", "japanese"))
+    return "metric" if told in METRIC_PARTS else next((kind for mark, kind in marked if mark in unit), "us_customary")
+
+
 def _map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 

@@ -92,9 +92,31 @@ def marginals(scores: np.ndarray, moves: np.ndarray, scale: float, zero: float)
     return np.exp(forward + backward - np.logaddexp.reduce(forward[-1]))
 
 
-def label(df: DataFrame, keys: list[str], features: str, model: Model, constrained: bool = True, out: str = "labelled") -> DataFrame:
+# Labels of names, the first of equal ones first.
+NAME_LABELS = ("B_NAME_TOK", "I_NAME_TOK", "NAME_VAR", "NAME_MOD", "NAME_SEP")
+
+
+def guessed(found: list[str], p: np.ndarray, labels: list[str], least: float = 0.2) -> list[str]:
+    """Labels with a name where there is none: of the runs of tokens that have a name label with a
+    probability above `least`, the first of the longest gets each token's likeliest one."""
+    ours = [x for x in NAME_LABELS if x in labels]
+    if not ours or any("NAME" in x for x in found):
+        return found
+    of_names = p[:, [labels.index(x) for x in ours]]
+    runs: list[list[int]] = [[]]
+    for t in range(len(found)):
+        if of_names[t].max() > least:
+            runs[-1].append(t)
+        elif runs[-1]:
+            runs.append([])
+    run = max(runs, key=len)
+    return [ours[int(of_names[t].argmax())] if t in run else x for t, x in enumerate(found)]
+
+
+def label(df: DataFrame, keys: list[str], features: str, model: Model, constrained: bool = True, out: str = "labelled", guess: float | None = None) -> DataFrame:
     """df with `out`, array<struct<label, score>>: each token's label on the best path and its marginal
-    probability. Null or no tokens give null. `keys` name a row."""
+    probability. Null or no tokens give null. `keys` name a row. With `guess`, sentences without a name get
+    one as `guessed` has it."""
     labels = list(model.labels)
     if constrained and not {BEGIN, INSIDE, SEPARATOR} <= set(labels):
         raise ValueError(f"the constraint needs the labels {BEGIN}, {INSIDE} and {SEPARATOR}")
@@ -109,7 +131,10 @@ def label(df: DataFrame, keys: list[str], features: str, model: Model, constrain
         for rows in sentences:
             m = np.stack(list(rows))
             p = marginals(m, moves, scale, zero)
-            out.append([{"label": labels[j], "score": float(p[t, j])} for t, j in enumerate(viterbi(m, moves, names))])
+            best = [labels[j] for j in viterbi(m, moves, names)]
+            if guess is not None:
+                best = guessed(best, p, labels, guess)
+            out.append([{"label": x, "score": float(p[t, labels.index(x)])} for t, x in enumerate(best)])
         return pd.Series(out, dtype=object)
 
     found = state_scores(df, keys, features, model, "_scores").select(*keys, decode("_scores").alias(out))
