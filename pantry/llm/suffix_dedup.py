@@ -267,39 +267,57 @@ def _with_company(strings: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     return string[head], at[head], at[tail] + length
 
 
-def _spans_of(which: np.ndarray, where: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+def _spans_of(which: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks as spans (string, start, end), neighbours together."""
-    if not len(which):
-        return []
     order = np.lexsort((where, which))
     which, where = which[order], where[order]
-    new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (where[1:] > where[:-1] + length))))
-    stop = np.append(new[1:], len(which)) - 1
-    return list(zip(which[new].tolist(), where[new].tolist(), (where[stop] + length).tolist()))
-
-
-def judged(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """rows(name, bytes, doc, tag, start) of whole names -> spans (doc, tag, start, end)."""
-    owner: dict[bytes, int] = {}
-    under: dict[int, set[bytes]] = {}
-    for name, data, doc, _, _ in rows:
-        owner[data] = min(doc, owner.get(data, doc))
-        under.setdefault(name, set()).add(data)
-    mixed = sorted({s for many in under.values() if len(many) > 1 for s in many}, key=lambda s: (owner[s], s))
-    marked: dict[bytes, list[tuple[int, int]]] = {}
-    which, starts, stops = _with_company(mixed, length) if mixed else ((),) * 3
-    if len(which):
-        cut = [mixed[i][a:b] for i, a, b in zip(which, starts, stops)]
-        owners = np.array([owner[mixed[i]] for i in which], np.int64)
-        for i, a, b in _spans_of(*RunLengthIndex(cut, owners, length).marks(cut, owners), length):
-            marked.setdefault(mixed[which[i]], []).append((a + int(starts[i]), b + int(starts[i])))
-    out = []
-    for _, data, doc, tag, start in rows:
-        if doc > owner[data]:
-            out.append((doc, tag, start, start + len(data)))
-        else:
-            out.extend((doc, tag, start + a, start + b) for a, b in marked.get(data, ()))
-    return out
+    head = np.concatenate(([True], (which[1:] != which[:-1]) | (where[1:] > where[:-1] + length)))[: len(which)]
+    tail = np.concatenate((head[1:], [True]))[: len(which)]
+    return which[head], where[head], where[tail] + length
+
+
+def _heads(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))[: len(sorted_values)])
+
+
+def _owners(segment: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each row's string, the strings, the least doc of each)."""
+    coded = segment.dictionary_encode()
+    code = coded.indices.to_numpy()
+    owner = np.full(len(coded.dictionary), LAST)
+    np.minimum.at(owner, code, doc)
+    return code, coded.dictionary, owner
+
+
+def judged(name: np.ndarray, segment: pa.Array, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Rows of whole names, in order of these -> spans (doc, tag, start, end)."""
+    code, strings, owner = _owners(segment, doc)
+    head = _heads(name)
+    several = np.minimum.reduceat(code, head) != np.maximum.reduceat(code, head)
+    mixed = np.unique(code[np.repeat(several, np.diff(np.append(head, len(name))))])
+    mixed = mixed[np.argsort(owner[mixed], kind="stable")]
+    whose = a = b = np.zeros(0, np.int64)  # spans within strings
+    if len(mixed):
+        texts = strings.take(pa.array(mixed)).to_pylist()
+        which, starts, stops = _with_company(texts, length)
+        if len(which):
+            cut = [texts[i][x:y] for i, x, y in zip(which.tolist(), starts.tolist(), stops.tolist())]
+            owners = owner[mixed[which]]
+            i, a, b = _spans_of(*RunLengthIndex(cut, owners, length).marks(cut, owners), length)
+            whose, a, b = mixed[which[i]], a + starts[i], b + starts[i]
+            order = np.argsort(whose, kind="stable")
+            whose, a, b = whose[order], a[order], b[order]
+    later = doc > owner[code]
+    size = pc.binary_length(strings).to_numpy()[code[later]]
+    count = np.bincount(whose, minlength=len(strings))
+    rows = np.flatnonzero(~later & (count[code] > 0))
+    n = count[code[rows]]
+    each = np.repeat(rows, n)
+    span = np.arange(len(each)) + np.repeat((np.cumsum(count) - count)[code[rows]] - (np.cumsum(n) - n), n)
+    return (
+        np.concatenate((doc[later], doc[each])), np.concatenate((tag[later], tag[each])),
+        np.concatenate((start[later], start[each] + a[span])), np.concatenate((start[later] + size, start[each] + b[span])),
+    )
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -376,6 +394,10 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SEGMENT_TYPES)], _SEGMENT_NAMES)
 
 
+def _batch(name: np.ndarray, segment: pa.Array, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(name), segment, pa.array(doc), pa.array(tag), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], _SEGMENT_NAMES)
+
+
 def _once(rows: Iterator[tuple]) -> list[tuple]:
     """Of rows(name, bytes, doc, tag, start) with equal bytes those of the smallest doc stay; of the
     others the span is known, and their bytes become null."""
@@ -425,42 +447,59 @@ def _spans_of_part(rows: DataFrame, part: int, passes: int, length: int, most: i
                 for i in range(len(datas)):
                     wanted[edges[i] : edges[i + 1]] = np.isin(name[edges[i] : edges[i + 1]], lists[i].values.to_numpy())
                 wanted &= name % passes == part
-                doc, tag = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                picked = zip(*(x[wanted].tolist() for x in (who, start, n, name)))
-                yield _segments(_once((h, datas[i][a : a + k + length - 1], doc[i], tag[i], a) for i, a, k, h in picked))
+                who, start, n, name = (x[wanted] for x in (who, start, n, name))
+                stop = start + n + length - 1
+                segment = pa.array([datas[i][x:y] for i, x, y in zip(who.tolist(), start.tolist(), stop.tolist())], pa.binary())
+                doc, tag = (batch.column(i).to_numpy()[who] for i in (0, 2))
+                code, _, owner = _owners(segment, doc)
+                first = doc == owner[code]
+                yield _batch(name[first], segment.filter(pa.array(first)), doc[first], tag[first], start[first], stop[first])
+                # the other copies: spans that touch become one
+                name, doc, tag, start, stop, who = (x[~first] for x in (name, doc, tag, start, stop, who))
+                head = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (start[1:] > stop[:-1])))[: len(who)])
+                tail = np.append(head[1:], len(who))[: len(head)] - 1
+                yield _batch(name[head], pa.nulls(len(head), pa.binary()), doc[head], tag[head], start[head], stop[tail])
+
+    def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        name = batch.column(0).to_numpy()
+        n = np.diff(np.append(_heads(name), len(name)))
+        over = np.repeat(n > most, n)
+        yield batch.filter(pa.array(over))
+        batch = batch.filter(pa.array(~over))
+        if batch.num_rows:
+            doc, tag, start = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            doc, tag, start, stop = judged(name[~over], batch.column(1), doc, tag, start, length)
+            yield _batch(np.zeros(len(doc), np.int64), pa.nulls(len(doc), pa.binary()), doc, tag, start, stop)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole names
-        now: list[tuple] = []  # the last name so far
-        size = 0
-        name, over = None, False
-
-        def spans(rows: list[tuple]) -> pa.RecordBatch:
-            return _segments([(None, None, doc, tag, a, b) for doc, tag, a, b in judged(rows, length)])
-
+        held: pa.RecordBatch | None = None  # rows that are not judged yet
+        over = None  # a name that has too many rows, of which more may come
         for whole in batches:
             known = whole.column(1).is_null()
             yield whole.filter(known)
             batch = whole.filter(pc.invert(known))
-            out = []
-            for h, data, doc, tag, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != name:
-                    held, now, name, over = held + now, [], h, False
-                    if size >= index_bytes:
-                        yield spans(held)
-                        held, size = [], 0
-                if over:
-                    out.append((h, data, doc, tag, a, b))
-                    continue
-                now.append((h, data, doc, tag, a))
-                size += len(data)
-                if len(now) > most:
-                    out += [(*r, r[4] + len(r[1])) for r in now]
-                    size -= sum(len(r[1]) for r in now)
-                    now, over = [], True
-            yield _segments(out)
-        if held or now:
-            yield spans(held + now)
+            if over is not None:
+                same = pc.equal(batch.column(0), over)
+                yield batch.filter(same)
+                batch = batch.filter(pc.invert(same))
+            if not batch.num_rows:
+                continue
+            over = None
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            name = held.column(0).to_numpy()
+            last = int(np.searchsorted(name, name[-1]))
+            done, rest = held.slice(0, last), held.slice(last)
+            if rest.num_rows > most:
+                yield rest
+                held, over = None, int(name[-1])
+            elif last and pc.sum(pc.binary_length(done.column(1))).as_py() >= index_bytes:
+                held = rest
+            else:
+                continue
+            if done.num_rows:
+                yield from judge(done)
+        if held is not None:
+            yield from judge(held)
 
     sent = rows.mapInArrow(cut, _SEGMENT)
     dealt = sent.repartition(F.when(F.col("segment").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("name"))).sortWithinPartitions("name")
