@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import features as X
+from ..functions import quantities as Q
+from ..functions import stems as M
 from ..functions import tagging as G
 from ..functions import tokens as T
 from ..functions import units as U
+from ..operators import parsing as Z
 from ..operators import retrieval as R
 from ..operators import sequences as S
 from ..streaming import events as E
@@ -106,11 +109,35 @@ def feature_counts(spark, sf_dir):
     return each.groupBy(F.substring_index("feature", ":", 1).alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def stemmed(spark, sf_dir):
+    """Both stems of each word of the documents, each word once."""
+    words = vocabulary(spark, sf_dir).select("token", F.array("token").alias("one"))
+    return words.select("token", M.porter_stems("one")[0].alias("porter"), M.english_stems("one")[0].alias("english"))
+
+
+def amounts(spark, sf_dir):
+    """A labelled sentence per part: its size as the quantity of a unit, its name as the name."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("cup", "oz", "clove", "tbsp")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    words = F.concat(F.array(F.col("p_size").cast("string"), unit), F.split("p_name", " "))
+    labels = F.transform(words, lambda _, i: F.when(i == 0, "QTY").when(i == 1, "UNIT").when(i == 2, "B_NAME_TOK").otherwise("I_NAME_TOK"))
+    same = lambda x: F.transform(words, lambda _: F.lit(x))
+    found = _table(spark, sf_dir, "part").select("p_partkey", Z.parse_labelled(words, same(False), same("NN"), labels, same(0.5)).alias("x"))
+    part = F.col("x.amounts")[0]["parts"][0]
+    return found.select("p_partkey", F.col("x.amounts")[0]["text"].alias("text"), part["value"].alias("value"), part["unit"].alias("unit"), part["unit_system"].alias("system"), F.col("x.names")[0]["text"].alias("name"))
+
+
+def expressions(spark, sf_dir):
+    """Balances read as degrees Fahrenheit, in Celsius, and as pounds a cup, in grams a cubic centimetre."""
+    to = lambda a, b: F.round(Q.convert("c_acctbal", F.lit(a), F.lit(b))["value"], 4)
+    return _table(spark, sf_dir, "customer").select("c_custkey", to("degF", "degC").alias("celsius"), to("lb per cup", "g/cm^3").alias("density"))
+
+
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 QUERIES = {
     "q_vocabulary": vocabulary, "q_token_attributes": token_attributes, "q_bm25": bm25, "q_token_weights": token_weights, "q_cosine": cosine,
     "q_islands": islands, "q_spread_flags": flags, "q_evaluation": evaluation, "q_tumbling": tumbling,
     "q_unit_conversion": unit_conversion, "q_numeric_tokens": numeric_tokens, "q_tags": tags, "q_feature_counts": feature_counts,
+    "q_stems": stemmed, "q_amounts": amounts, "q_unit_expressions": expressions,
 }
 _PIECES = r"regexp_extract_all(text, '[()\[\]{},/:;?!*~]|[^\s()\[\]{},/:;?!*~]+')"
 _SPLIT = rf"flatten(list_transform({_PIECES}, lambda t: CASE WHEN ends_with(t, '.') AND length(t) > 1 AND NOT regexp_matches(t, '\.[\pL\pN_]\.$') THEN [t[:length(t) - 1], '.'] ELSE [t] END))"
@@ -172,4 +199,12 @@ FROM v""",
     "q_numeric_tokens": rf"""
 WITH t AS (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations)
 SELECT conv_id, turn, len(list_filter(t, lambda x: {_NUMERIC})) AS numbers FROM t""",
+    "q_amounts": """
+WITH u(k, one, many, unit, system) AS (VALUES (0, 'cup', 'cups', 'cup', 'us_customary'), (1, 'oz', 'oz', 'ounce', 'us_customary'),
+  (2, 'clove', 'cloves', NULL, 'other'), (3, 'tbsp', 'tbsps', 'tablespoon', 'us_customary'))
+SELECT p_partkey, p_size || ' ' || CASE WHEN p_size = 1 THEN one ELSE many END AS text, CAST(p_size AS DOUBLE) AS value,
+  coalesce(unit, CASE WHEN p_size = 1 THEN one ELSE many END) AS unit, system, p_name AS name
+FROM part JOIN u ON k = p_partkey % 4""",
+    "q_unit_expressions": """
+SELECT c_custkey, round((c_acctbal - 32) * 5 / 9, 4) AS celsius, round(c_acctbal * (453.59237::DOUBLE / 236.5882365::DOUBLE), 4) AS density FROM customer""",
 }
