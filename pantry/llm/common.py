@@ -39,7 +39,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     cut there and a lost executor costs a task, not a job."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
