@@ -8,6 +8,10 @@
 3. Each pair is aligned by patience diff, and the aligned blocks that hold an anchor-sized line
    are deleted from the later document; what several earlier documents share with it adds up.
 
+With `whole`, as op6 and the pipeline use it, every occurrence of such a line is an anchor: the
+k-th one meets the first holder of k or more, so lines that a document repeats pair it too. Patience
+takes the k-th occurrence in either document for the same line where nothing unique is left.
+
 Documents are judged as they came in, not by what is left of earlier ones.
 
 Defined results for odd rows: a null text has no lines and stays null; an empty text has one empty
@@ -30,6 +34,15 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 
+def _numbered(lines: list) -> list[tuple]:
+    seen: Counter = Counter()
+    out = []
+    for x in lines:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     """Aligned blocks (start in a, start in b, lines), in order."""
     pairs: list[tuple[int, int]] = []
@@ -47,6 +60,9 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
         left, right = Counter(a[i:j]), Counter(b[k:m])
         at = {x: n for n, x in enumerate(b[k:m], k) if right[x] == 1}
         common = [(n, at[x]) for n, x in enumerate(a[i:j], i) if left[x] == 1 and x in at]
+        if not common:  # nothing unique: the k-th occurrence in one stands for the k-th in the other
+            at = {x: n for n, x in enumerate(_numbered(b[k:m]), k)}
+            common = [(n, at[x]) for n, x in enumerate(_numbered(a[i:j]), i) if x in at]
         tops: list[int] = []  # the longest run that rises in both
         ends: list[int] = []
         before: list[int] = []
@@ -89,7 +105,12 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(text).alias("tag"), hashed.alias("lines"))
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def _nth(line: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The anchor of the occurrence k (0: the first) of a line; of the first it is the line itself."""
+    return (line.astype(np.int64).view(np.uint64) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def kept_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, tag, keep), a row for each text that loses lines; keep has a
     boolean per line."""
     lines = stored(line_table(docs, min_chars).dropDuplicates(["doc_id", "tag"]), "lines")
@@ -104,6 +125,11 @@ def kept_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
             order = np.lexsort((flat, row))
             row, flat = row[order], flat[order]
             same = (row[1:] == row[:-1]) & (flat[1:] == flat[:-1])
+            if whole:
+                start = np.flatnonzero(np.concatenate(([True], ~same))) if len(row) else np.zeros(0, np.int64)
+                k = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(_nth(flat, k))], ["doc_id", "line"])
+                continue
             once = ~(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(row) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[once])), pa.array(flat[once])], ["doc_id", "line"])
 
@@ -138,10 +164,10 @@ def kept_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return met.mapInArrow(masks, "doc_id long, tag long, keep array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> DataFrame:
     """docs with its own columns, deleted lines taken out of `text`, and at the end n_lines and
     n_deleted (which must not be column names of docs)."""
-    masks = stored(kept_lines(docs, min_chars), "masks")
+    masks = stored(kept_lines(docs, min_chars, whole), "masks")
     text = F.col("text").cast("string")
     one, two, three = (f"_{n}_of_line_dedup" for n in ("id", "tag", "keep"))
     masks = masks.select(F.col("doc_id").alias(one), F.col("tag").alias(two), F.col("keep").alias(three))
@@ -156,5 +182,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, those deleted, and the SHA-256 of the text that stays."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

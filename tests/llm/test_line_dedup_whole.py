@@ -1,0 +1,14 @@
+from pantry.llm import line_dedup as L
+
+A, B, C = (x * 5 + " a line of some length" for x in "ABC")
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in L.dedup_lines(df, whole=True).collect()}
+
+
+def test_lines_that_documents_repeat(spark):
+    texts = [f"{A}\n{A}", f"{A}\n{A}", f"{B}\nx\n{B}\ny", f"{B}\nnew", f"{C}\nz\n{C}\nz\n{C}", f"{C}\nq\n{C}"]
+    assert kept(spark, texts) == {0: texts[0], 1: "", 2: texts[2], 3: "new", 4: texts[4], 5: "q"}
+    assert L.patience(list("xAyAz"), list("qAAr")) == [(1, 1, 1), (3, 2, 1)]
