@@ -10,7 +10,9 @@
 
 With `whole`, as op6 and the pipeline use it, every occurrence of such a line is an anchor: the
 k-th one meets the first holder of k or more, so lines that a document repeats pair it too. Patience
-takes the k-th occurrence in either document for the same line where nothing unique is left.
+takes the k-th occurrence in either document for the same line where nothing unique is left. After
+the first holders, the other earlier holders of each line that stays are tried in rounds, until the
+line goes or none is left. A line that a document has more often than any earlier one keeps the rest.
 
 Documents are judged as they came in, not by what is left of earlier ones.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import bisect
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,11 +138,6 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> Dat
     held = lines.select("doc_id", "lines").mapInArrow(anchors, "doc_id long, line long")
     shared = held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").drop("last")
     pairs = held.join(shared, "line").where("earlier < doc_id").select("doc_id", "earlier").distinct()
-    both = (
-        pairs.join(lines.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
-        .join(lines, "doc_id").select("doc_id", "tag", "lines", "theirs")
-    )
-
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
@@ -159,11 +156,79 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> Dat
                 out.append(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["doc_id", "tag", "keep"])
 
-    found = both.mapInArrow(align, "doc_id long, tag long, n int, gone array<int>").where("size(gone) > 0")
-    met = found.groupBy("doc_id", "tag").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = (
+            pairs.join(lines.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
+            .join(lines, "doc_id").select("doc_id", "tag", "lines", "theirs")
+        )
+        return both.mapInArrow(align, "doc_id long, tag long, n int, gone array<int>").where("size(gone) > 0")
+
+    found = aligned(pairs)
+    if whole:
+        found = stored(found, "aligned")
+        found = _later_holders(lines, held, shared, found, aligned)
+    met = _merged(found)
     return met.mapInArrow(masks, "doc_id long, tag long, keep array<boolean>")
 
 
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of the occurrences that stay: with j of m deleted, those from j + 1 to m."""
+    for batch in batches:
+        ids, tags, out, nth = [], [], [], []
+        for doc, tag, own, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            lost = Counter(own[y] for y in gone or () if own[y] & 1)
+            for x, m in Counter(x for x in own if x & 1).items():
+                for k in range(lost[x], m):
+                    ids.append(doc)
+                    tags.append(tag)
+                    out.append(x)
+                    nth.append(k)
+        anchors = _nth(np.array(out, np.int64), np.array(nth, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(anchors)], ["doc_id", "tag", "line"])
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "tag").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _later_holders(lines: DataFrame, held: DataFrame, shared: DataFrame, found: DataFrame, aligned: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """found, from the first holders, with what the other earlier holders of the lines that stay
+    add: two more of each line's holders, then four and so on, until none is left to try."""
+
+    def still(rows: DataFrame) -> DataFrame:
+        gone = _merged(found).select("doc_id", "tag", "gone")
+        return rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "tag", "lines", "gone").mapInArrow(_left_over, "doc_id long, tag long, line long")
+
+    left = stored(still(lines).join(shared, "line").where("earlier < doc_id").select("doc_id", "tag", "line"), "left")
+    if left.isEmpty():
+        return found
+    # the holders in order, numbered throughout: a line's holders are a run of numbers, however many
+    ordered = held.join(left.select("line").distinct(), "line", "left_semi").distinct().repartitionByRange("line", "doc_id").sortWithinPartitions("line", "doc_id")
+    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "holders")
+    part = F.shiftright("at", 33)
+    sizes, before, n = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect(), [], 0
+    for r in sizes:  # a row per partition
+        before.append((r.part, n))
+        n += r.n
+    starts = lines.sparkSession.createDataFrame(before, "part long, before long")
+    placed = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
+    placed = stored(placed.select("line", "doc_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), "placed")
+    first = placed.groupBy("line").agg(F.min("at").alias("first"))
+    left = left.join(placed, ["line", "doc_id"]).join(first, "line").select("doc_id", "tag", "line", "first", "at")
+    tried, width = 1, 2
+    while True:
+        left = stored(left.where(F.col("at") - F.col("first") > tried), "left")
+        if left.isEmpty():
+            return found
+        next_ = f"explode(sequence(first + {tried}, least(first + {tried + width}, at) - 1)) AS at"
+        targets = left.selectExpr("doc_id", next_).distinct()
+        pairs = targets.join(placed.select("at", F.col("doc_id").alias("earlier")), "at").select("doc_id", "earlier").distinct()
+        found = found.union(stored(aligned(pairs), "aligned"))
+        tried, width = tried + width, 2 * width
+        rows = lines.join(left.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
+        left = left.join(still(rows), ["doc_id", "tag", "line"], "left_semi")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> DataFrame:
     """docs with its own columns, deleted lines taken out of `text`, and at the end n_lines and
     n_deleted (which must not be column names of docs)."""

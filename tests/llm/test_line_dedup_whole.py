@@ -12,3 +12,35 @@ def test_lines_that_documents_repeat(spark):
     texts = [f"{A}\n{A}", f"{A}\n{A}", f"{B}\nx\n{B}\ny", f"{B}\nnew", f"{C}\nz\n{C}\nz\n{C}", f"{C}\nq\n{C}"]
     assert kept(spark, texts) == {0: texts[0], 1: "", 2: texts[2], 3: "new", 4: texts[4], 5: "q"}
     assert L.patience(list("xAyAz"), list("qAAr")) == [(1, 1, 1), (3, 2, 1)]
+
+
+def test_later_holders_are_tried(spark):
+    texts = [f"{A}\n{B}", f"{B}\n{A}", f"{B}\n{A}", "x"]
+    got = kept(spark, texts)
+    assert got[0] == texts[0] and got[2] == "" and got[3] == "x"
+    mixed = [[A, B, C], [C, A, B], [B, C, A], [A, C, B], [C, B, A], [B, A, C], [C, B, A]]
+    last = kept(spark, ["\n".join(x) for x in mixed])
+    assert last[6] == ""
+
+
+def test_no_line_stays_that_another_holder_takes(spark):
+    import test_line_dedup as T
+
+    rows = T.fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in L.dedup_lines(df, whole=True).select("doc_id", "text").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    good = [(i, t.split("\n")) for i, t in rows if i is not None and t is not None]
+    for i, own in good:
+        gone = set()
+        for e, theirs in good:
+            if e < i:
+                for _, y, n in L.patience(theirs, own):
+                    if any(len(x.strip(" ")) >= 20 for x in own[y : y + n]):
+                        gone |= set(range(y, y + n))
+        stay = [[x for x in (t or "").split("\n") if len(x) >= 20] for t in got[i]]
+        for x in {x for x in own if len(x) >= 20}:
+            most = max([t.count(x) for e, t in good if e < i] + [0])
+            lost = sum(own[y] == x for y in gone)
+            assert any(s.count(x) <= own.count(x) - min(lost, most) for s in stay), (i, x)
