@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,17 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests, one machine).
-FALLBACK_DIR = "/tmp/pantry-checkpoints"
+#: Lets Spark delete the shuffle files of a query once it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session on one machine
+    that names none gets a temporary one; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = FALLBACK_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
+        folder = tempfile.mkdtemp(prefix="pantry-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -34,24 +34,32 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/pantry/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, *done: DataFrame) -> DataFrame:
     """Writes `df` as Parquet below the shared folder and reads it again, so that its lineage is
-    cut there and a lost executor costs a task, not a job."""
+    cut there and a lost executor costs a task, not a job. The shuffle files of the write go with it,
+    and so do the tables `done`, made here, which nothing reads from then on."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of finished phases; tables made by `stored` that are
-    passed here are deleted."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    forget(*done)
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables that `stored` has made and that nothing will read any more."""
     for df in frames:
-        for file in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
