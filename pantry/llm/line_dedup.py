@@ -1,251 +1,225 @@
 """Line dedup by pairwise alignment.
 
-1. A document is its lines' hashes. Lines of at least `min_chars` characters that occur once in
-   their document are its anchors: rare enough within it for patience diff to rest on.
-2. Every document is paired with the first holder (the smallest doc_id) of each of its anchors.
-   A line that very many documents share makes one pair for each of them, as a rare one does, so
-   no line is left out for being frequent and nothing grows with the square of a group.
-3. Each pair is aligned by patience diff, and the aligned blocks that hold an anchor-sized line
-   are deleted from the later document; what several earlier documents share with it adds up.
-
-With `whole`, as op6 and the pipeline use it, every occurrence of such a line is an anchor: the
-k-th one meets the first holder of k or more, so lines that a document repeats pair it too. Patience
-takes the k-th occurrence in either document for the same line where nothing unique is left. After
-the first holders, the other earlier holders of each line that stays are tried in rounds, until the
-line goes or none is left. A line that a document has more often than any earlier one keeps the rest.
+1. Lines of at least `min_chars` characters are anchors. An anchor is a line with its number among
+   equal lines of its document, so it is unique there, as patience diff wants it. A shorter line is no
+   anchor by itself; it is one together with the lines up to the nearest anchor above, and with those
+   down to the nearest below.
+2. Documents overlap where they share an anchor. A document is paired with the first holder (the
+   smallest doc_id) of each of its anchors, rare or frequent, so no line is left out for being frequent
+   and nothing grows with the square of a group. A pair carries its shared anchors and where they stand
+   in either document, no text and no list of lines.
+3. Each pair is aligned by patience: the longest chain of anchors that rises in both documents, then,
+   for passages that have moved, chains through what is left. Neighbours on a chain that are neighbours
+   in both documents are a block, and blocks are deleted from the later document.
+
+Chains go on until no shared anchor is left, so whatever a document shares with an earlier one lies
+in a block of that pair, and every anchor that any earlier document holds is shared with its first
+holder as well. The blocks of the pairs that are aligned therefore cover the same lines as those of
+all overlapping pairs (tests hold them against each other). A line that a document has more often
+than any earlier one keeps the occurrences beyond that.
+
+The lines that most documents share, HOT at most, are looked up in a broadcast table, so that no task
+of the join gets all rows of one of them: any other line has less than one in HOT of all rows.
 
 Documents are judged as they came in, not by what is left of earlier ones.
 
 Defined results for odd rows: a null text has no lines and stays null; an empty text has one empty
 line. A row without doc_id is left alone and pairs with nothing. Rows that share a doc_id are
 versions of one document: they are not compared with each other, and later documents are compared
-with each of them; if their texts are equal they fare alike. Lines end at \\n only.
+with each of them; if their texts are equal they fare alike. Lines end at \\n only. An empty table
+gives an empty one. Texts are taken whole, whatever their length, one at a time. Other columns pass
+through; where one is named like an added one, the added one takes its place.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-
-
-def _numbered(lines: list) -> list[tuple]:
-    seen: Counter = Counter()
-    out = []
-    for x in lines:
-        out.append((x, seen[x]))
-        seen[x] += 1
+from .common import cut_batches, stored, table
+
+#: Lines that are looked up by broadcast: a bound on that table's rows.
+HOT = 1000
+
+
+def patience(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """pairs(place in a, place in b) of things that are unique in both -> chains that rise in both,
+    the first of them as long as possible, the others through what it leaves; none is left out."""
+    pairs = sorted(pairs, key=lambda p: p[1])
+    if all(p[0] < q[0] for p, q in zip(pairs, pairs[1:])):
+        return [pairs] if pairs else []
+    tops: list[int] = []  # the longest chain that rises in both
+    ends: list[int] = []
+    before: list[int] = []
+    for n, (x, _) in enumerate(pairs):
+        p = bisect.bisect_left(tops, x)
+        before.append(ends[p - 1] if p else -1)
+        tops[p : p + 1], ends[p : p + 1] = [x], [n]
+    on, n = [], ends[-1]
+    while n >= 0:
+        on.append(n)
+        n = before[n]
+    chains = [[pairs[n] for n in reversed(on)]]
+    taken = set(on)
+    heads: list[int] = []  # less the last place in a of each further chain, rising
+    more: list[list[tuple[int, int]]] = []
+    for n, (x, y) in enumerate(pairs):
+        if n not in taken:
+            p = bisect.bisect_right(heads, -x)
+            if p == len(heads):
+                heads.append(-x)
+                more.append([(x, y)])
+            else:
+                heads[p] = -x
+                more[p].append((x, y))
+    return chains + more
+
+
+def blocks_of(chain: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, lines) of each run of neighbours."""
+    out: list[tuple[int, int, int]] = []
+    for x, y in chain:
+        if out and (x, y) == (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]):
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
+        else:
+            out.append((x, y, 1))
     return out
 
 
-def patience(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Aligned blocks (start in a, start in b, lines), in order."""
-    pairs: list[tuple[int, int]] = []
-    work = [(0, len(a), 0, len(b))]
-    while work:
-        i, j, k, m = work.pop()
-        while i < j and k < m and a[i] == b[k]:
-            pairs.append((i, k))
-            i, k = i + 1, k + 1
-        while i < j and k < m and a[j - 1] == b[m - 1]:
-            j, m = j - 1, m - 1
-            pairs.append((j, m))
-        if i == j or k == m:
-            continue
-        left, right = Counter(a[i:j]), Counter(b[k:m])
-        at = {x: n for n, x in enumerate(b[k:m], k) if right[x] == 1}
-        common = [(n, at[x]) for n, x in enumerate(a[i:j], i) if left[x] == 1 and x in at]
-        if not common:  # nothing unique: the k-th occurrence in one stands for the k-th in the other
-            at = {x: n for n, x in enumerate(_numbered(b[k:m]), k)}
-            common = [(n, at[x]) for n, x in enumerate(_numbered(a[i:j]), i) if x in at]
-        tops: list[int] = []  # the longest run that rises in both
-        ends: list[int] = []
-        before: list[int] = []
-        for n, (_, y) in enumerate(common):
-            p = bisect.bisect_left(tops, y)
-            before.append(ends[p - 1] if p else -1)
-            tops[p : p + 1], ends[p : p + 1] = [y], [n]
-        chain, n = [], ends[-1] if ends else -1
-        while n >= 0:
-            chain.append(common[n])
-            n = before[n]
-        chain.reverse()
-        pairs += chain
-        for (x, y), (z, w) in zip([(i - 1, k - 1), *chain], [*chain, (j, m)]):
-            if chain and x + 1 < z and y + 1 < w:
-                work.append((x + 1, z, y + 1, w))
-    blocks: list[tuple[int, int, int]] = []
-    for x, y in sorted(pairs):
-        if blocks and (x, y) == (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]):
-            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+def _long_enough(line: bytes, min_chars: int) -> bool:
+    line = line.strip(b" ")
+    return len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode("utf-8", "surrogatepass")) >= min_chars)
+
+
+def anchors(data: bytes, min_chars: int) -> list[tuple[int, bytes]]:
+    """(line number, 16 bytes) of a text's anchors."""
+    digest = xxhash.xxh3_128_digest
+    seen: dict[bytes, int] = {}
+    out: list[tuple[int, bytes]] = []
+    small: list[tuple[int, bytes]] = []  # shorter lines since the last anchor
+    above = b""
+
+    def below(name: bytes) -> None:
+        for at, line in reversed(small):
+            name = digest(name + line + b">")
+            out.append((at, name))
+
+    for at, line in enumerate(data.split(b"\n")):
+        name = digest(line)
+        if _long_enough(line, min_chars):
+            k = seen.get(name, 0)
+            seen[name] = k + 1
+            if k:
+                name = digest(name + k.to_bytes(8, "little"))
+            out.append((at, name))
+            below(name)
+            above = name
+            small.clear()
         else:
-            blocks.append((x, y, 1))
-    return blocks
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+            small.append((at, name))
+            if above:
+                above = digest(above + name + b"<")
+                out.append((at, above))
+    return out
 
 
 def _tag(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, tag, lines): a long per line, its lowest bit set if the line has min_chars
-    characters besides white space at its ends."""
+def anchor_table(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc, tag, at, a, b): a row per anchor; tag is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in cut_batches(whole, 2, 4 << 20):
+                found = [anchors(x.as_buffer().to_pybytes(), min_chars) for x in batch.column(2).cast(pa.binary())]
+                n = [len(x) for x in found]
+                names = np.frombuffer(b"".join(name for x in found for _, name in x), np.int64).reshape(-1, 2)
+                at = np.fromiter((at for x in found for at, _ in x), np.int32, len(names))
+                own = [pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc", "tag", "at", "a", "b"])
+
     text = F.col("text").cast("string")
-    hashed = F.transform(_lines(text), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(F.trim(x)) >= min_chars).cast("long")))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(text).alias("tag"), hashed.alias("lines"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc"), _tag(text).alias("tag"), text.alias("text")).mapInArrow(run, "doc long, tag long, at int, a long, b long")
 
 
-def _nth(line: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The anchor of the occurrence k (0: the first) of a line; of the first it is the line itself."""
-    return (line.astype(np.int64).view(np.uint64) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def overlaps(docs: DataFrame, min_chars: int = 20) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(doc, tag, at, e): each anchor of a later document with its first holder e(doc, tag, at); and
+    the stored tables that this reads."""
+    held = stored(anchor_table(docs, min_chars), "anchors")
+    met = held.groupBy("a", "b").agg(F.min(F.struct("doc", "tag", "at")).alias("e"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = stored(met.where("e.doc < last").select("a", "b", "e", "n"), "shared")
+    hot = F.broadcast(shared.orderBy(F.desc("n"), "a", "b").limit(HOT).select("a", "b", "e"))
+    names = hot.select("a", "b")
+    rare = shared.select("a", "b", "e").join(F.broadcast(names), ["a", "b"], "left_anti")
+    both = held.join(hot, ["a", "b"]).unionByName(held.join(F.broadcast(names), ["a", "b"], "left_anti").join(rare.hint("merge"), ["a", "b"]))
+    return both.where("e.doc < doc").select("doc", "tag", "at", "e"), (held, shared)
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, tag, keep), a row for each text that loses lines; keep has a
-    boolean per line."""
-    lines = stored(line_table(docs, min_chars).dropDuplicates(["doc_id", "tag"]), "lines")
+def aligned_blocks(matches: DataFrame) -> DataFrame:
+    """(doc, tag, blocks): the aligned blocks of each later document, with the earlier document, where
+    the block starts in either, and its lines."""
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            flat, ends = column.flatten().to_numpy(), np.asarray(column.offsets) - column.offsets[0].as_py()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            big = (flat & 1) == 1
-            row, flat = row[big], flat[big]
-            order = np.lexsort((flat, row))
-            row, flat = row[order], flat[order]
-            same = (row[1:] == row[:-1]) & (flat[1:] == flat[:-1])
-            if whole:
-                start = np.flatnonzero(np.concatenate(([True], ~same))) if len(row) else np.zeros(0, np.int64)
-                k = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(_nth(flat, k))], ["doc_id", "line"])
-                continue
-            once = ~(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(row) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[once])), pa.array(flat[once])], ["doc_id", "line"])
-
-    held = lines.select("doc_id", "lines").mapInArrow(anchors, "doc_id long, line long")
-    shared = held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").drop("last")
-    pairs = held.join(shared, "line").where("earlier < doc_id").select("doc_id", "earlier").distinct()
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("earlier", pa.int64()), ("start_earlier", pa.int32()), ("start", pa.int32()), ("lines", pa.int32())]))
         for batch in batches:
-            gone = []
-            for own, theirs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                at = [range(y, y + n) for _, y, n in patience(theirs, own) if any(x & 1 for x in own[y : y + n])]
-                gone.append([y for r in at for y in r])
-            sizes = pa.array([len(x) for x in batch.column(2)], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "tag", "n", "gone"])
-
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = []
+            for rows in batch.column(2).to_pylist():
+                pairs: dict[tuple[int, int], dict[int, int]] = {}
+                for r in rows:
+                    e = r["e"]
+                    pairs.setdefault((e["doc"], e["tag"]), {})[r["at"]] = e["at"]
+                found = [(key[0], *block) for key, places in pairs.items() for chain in patience([(x, y) for y, x in places.items()]) for block in blocks_of(chain)]
+                found.sort(key=lambda b: (b[2], b[0], b[1]))
+                out.append([dict(zip(("earlier", "start_earlier", "start", "lines"), b)) for b in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc", "tag", "blocks"])
+
+    met = matches.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "e")).alias("rows"))
+    return met.mapInArrow(run, "doc long, tag long, blocks array<struct<earlier: long, start_earlier: int, start: int, lines: int>>")
+
+
+def _masks(blocks: DataFrame) -> DataFrame:
+    """(doc, tag, keep): a boolean per line up to the last that goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                keep = np.ones(n, bool)
-                keep[gone] = False
+            for many in batch.column(2).to_pylist():
+                keep = np.ones(max(b["start"] + b["lines"] for b in many), bool)
+                for b in many:
+                    keep[b["start"] : b["start"] + b["lines"]] = False
                 out.append(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["doc_id", "tag", "keep"])
-
-    def aligned(pairs: DataFrame) -> DataFrame:
-        both = (
-            pairs.join(lines.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
-            .join(lines, "doc_id").select("doc_id", "tag", "lines", "theirs")
-        )
-        return both.mapInArrow(align, "doc_id long, tag long, n int, gone array<int>").where("size(gone) > 0")
-
-    found = aligned(pairs)
-    if whole:
-        found = stored(found, "aligned")
-        found = _later_holders(lines, held, shared, found, aligned)
-    met = _merged(found)
-    return met.mapInArrow(masks, "doc_id long, tag long, keep array<boolean>")
-
-
-def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of the occurrences that stay: with j of m deleted, those from j + 1 to m."""
-    for batch in batches:
-        ids, tags, out, nth = [], [], [], []
-        for doc, tag, own, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            lost = Counter(own[y] for y in gone or () if own[y] & 1)
-            for x, m in Counter(x for x in own if x & 1).items():
-                for k in range(lost[x], m):
-                    ids.append(doc)
-                    tags.append(tag)
-                    out.append(x)
-                    nth.append(k)
-        anchors = _nth(np.array(out, np.int64), np.array(nth, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(anchors)], ["doc_id", "tag", "line"])
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "tag").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def _later_holders(lines: DataFrame, held: DataFrame, shared: DataFrame, found: DataFrame, aligned: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """found, from the first holders, with what the other earlier holders of the lines that stay
-    add: two more of each line's holders, then four and so on, until none is left to try."""
-
-    def still(rows: DataFrame) -> DataFrame:
-        gone = _merged(found).select("doc_id", "tag", "gone")
-        return rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "tag", "lines", "gone").mapInArrow(_left_over, "doc_id long, tag long, line long")
-
-    left = stored(still(lines).join(shared, "line").where("earlier < doc_id").select("doc_id", "tag", "line"), "left")
-    if left.isEmpty():
-        return found
-    # the holders in order, numbered throughout: a line's holders are a run of numbers, however many
-    ordered = held.join(left.select("line").distinct(), "line", "left_semi").distinct().repartitionByRange("line", "doc_id").sortWithinPartitions("line", "doc_id")
-    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "holders")
-    part = F.shiftright("at", 33)
-    sizes, before, n = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect(), [], 0
-    for r in sizes:  # a row per partition
-        before.append((r.part, n))
-        n += r.n
-    starts = lines.sparkSession.createDataFrame(before, "part long, before long")
-    placed = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
-    placed = stored(placed.select("line", "doc_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), "placed")
-    first = placed.groupBy("line").agg(F.min("at").alias("first"))
-    left = left.join(placed, ["line", "doc_id"]).join(first, "line").select("doc_id", "tag", "line", "first", "at")
-    tried, width = 1, 2
-    while True:
-        left = stored(left.where(F.col("at") - F.col("first") > tried), "left")
-        if left.isEmpty():
-            return found
-        next_ = f"explode(sequence(first + {tried}, least(first + {tried + width}, at) - 1)) AS at"
-        targets = left.selectExpr("doc_id", next_).distinct()
-        pairs = targets.join(placed.select("at", F.col("doc_id").alias("earlier")), "at").select("doc_id", "earlier").distinct()
-        found = found.union(stored(aligned(pairs), "aligned"))
-        tried, width = tried + width, 2 * width
-        rows = lines.join(left.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
-        left = left.join(still(rows), ["doc_id", "tag", "line"], "left_semi")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 20, whole: bool = False) -> DataFrame:
-    """docs with its own columns, deleted lines taken out of `text`, and at the end n_lines and
-    n_deleted (which must not be column names of docs)."""
-    masks = stored(kept_lines(docs, min_chars, whole), "masks")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["doc", "tag", "keep"])
+
+    return blocks.mapInArrow(run, "doc long, tag long, keep array<boolean>")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, added: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """docs with its own columns, deleted lines taken out of `text`, and at the end the numbers of
+    lines and of deleted lines, named by `added`."""
+    matches, tables = overlaps(docs, min_chars)
+    masks = stored(_masks(aligned_blocks(matches)), "masks", *tables)
     text = F.col("text").cast("string")
-    one, two, three = (f"_{n}_of_line_dedup" for n in ("id", "tag", "keep"))
-    masks = masks.select(F.col("doc_id").alias(one), F.col("tag").alias(two), F.col("keep").alias(three))
-    rows = docs.join(masks, (F.col("doc_id").cast("long") == F.col(one)) & (_tag(text) == F.col(two)), "left")
-    left = F.array_join(F.zip_with(_lines(text), F.col(three), lambda x, k: F.when(k, x)), "\n")
-    new = F.when(F.col(three).isNull(), text).otherwise(left)
-    n_deleted = F.when(F.col(three).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(three), lambda k: ~k)))
-    kept = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
-    return rows.select(*kept, n_lines.cast("long").alias("n_lines"), n_deleted.cast("long").alias("n_deleted"))
+    one, two, three = (f"_{n}_of_line_dedup" for n in ("doc", "tag", "keep"))
+    masks = masks.select(F.col("doc").alias(one), F.col("tag").alias(two), F.col("keep").alias(three))
+    rows = docs.join(masks.hint("merge"), (F.col("doc_id").cast("long") == F.col(one)) & (_tag(text) == F.col(two)), "left")
+    lines, keep = F.split(text, "\n"), F.col(three)
+    new = F.when(keep.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.get(keep, i), F.lit(True))), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    n_deleted = F.when(keep.isNull(), 0).otherwise(F.size(F.filter(keep, lambda k: ~k)))
+    own = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return rows.select(*own, n_lines.cast("long").alias(added[0]), n_deleted.cast("long").alias(added[1]))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, those deleted, and the SHA-256 of the text that stays."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
