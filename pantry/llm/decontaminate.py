@@ -3,19 +3,29 @@
 A document word is hit if it lies in an occurrence of `window` consecutive words of a benchmark
 item (of a shorter item: of all its words). Hashes of `gram` consecutive words are winnowed: of
 every `window - gram + 1` neighbouring hashes the smallest is kept, so any shared span of `window`
-words has a kept hash on both sides. Kept hashes of a document that the benchmark has as well
-give diagonals, and each diagonal is extended word by word, on the words themselves, as far as
-both texts agree. Items below `window` words, for which winnowing guarantees nothing, are matched
-by one hash over all their words, for each of the lengths that occurs (`window - 1` at most).
-
-The benchmark's side is joined in blocks of at most `block_words` words (a longer item makes a
-block of its own), each broadcast by itself: that bound does not grow with either table. With one
-block documents are read once and nothing is shuffled. With more, documents get a row number, each
-block is a pass over them that returns only spans found, and the spans of a row meet at the end.
+words has a kept hash on both sides. Where a document has a kept hash that the benchmark has as
+well, the hit is extended to the windows around it: each is looked up by a hash of all its words
+among the benchmark's distinct windows, and neighbouring finds are verified together, on the words
+themselves. A window that an item or a document repeats is looked up once a place, whatever the number
+of places it has on the other side. Items below `window` words, for which winnowing guarantees nothing,
+are matched by one hash over all their words, for each of the lengths that occurs (`window - 1` at most).
+
+The benchmark's side is joined in blocks, each broadcast by itself: items are taken until their
+texts hold 3 * `block_words` * 2 characters, so a block has at most 3 * `block_words` words (of
+one letter; of ordinary words about `block_words`) or is one longer item. That bound does not grow
+with either table. With one block documents are read once and nothing is shuffled. With more,
+documents get a row number, each block is a pass over them that returns only spans found, and the
+spans of a row meet at the end.
+
+`remove_contaminated`, the form for a corpus, has a stricter rule than the flag `contaminated`, which
+asks for a twentieth of a document's words: no document that stays holds a window of the benchmark,
+however long the document is.
 
 Defined results for odd rows: a null or empty text has no words, is never hit, and is not
 contaminated; an item without words or without item_id takes no part. Item rows that share an
-item_id count as one item. Repeated documents stay repeated. Other columns are not looked at.
+item_id count as one item. Repeated documents stay repeated. Other columns are not looked at. Of
+empty documents comes an empty result, with an empty benchmark nothing is hit. Texts are taken whole;
+a very long one is a batch of its own.
 """
 
 from __future__ import annotations
@@ -105,14 +115,15 @@ def _lowered(text: str | None) -> bytes:
 
 
 class Index:
-    """One block of the benchmark."""
+    """One block of the benchmark: kept hashes, and the distinct windows with the items that have them."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
         self.window, self.gram = window, gram
-        self.ids, self.words = [], []
-        kept: list[np.ndarray] = []
-        every: list[tuple[np.ndarray, int]] = []
-        short: dict[int, dict[int, list[int]]] = {}
+        self.ids: list[str] = []
+        self.words: list[list[bytes]] = []
+        none = np.zeros(0, np.uint64)
+        kept, every, of, at = [none], [none], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        short: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
         for item_id, text in items:
             data = _lowered(text)
             starts, ends, hashes = words_of(data)
@@ -122,17 +133,40 @@ class Index:
             self.ids.append(item_id)
             self.words.append([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
             if len(hashes) < window:
-                short.setdefault(len(hashes), {}).setdefault(int(_grams(hashes, len(hashes))[0]), []).append(n)
+                short.setdefault(len(hashes), {}).setdefault(tuple(self.words[n]), set()).add(n)
             else:
-                grams = _grams(hashes, gram)
-                kept.append(np.unique(_least(grams, window - gram + 1)))
-                every.append((grams, n))
-        self.kept = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for grams, n in every:
-            for q in np.flatnonzero(_in(grams, self.kept)).tolist():
-                self.places.setdefault(int(grams[q]), []).append((n, q))
-        self.short = {n: (np.array(sorted(x), np.uint64), x) for n, x in short.items()}
+                kept.append(np.unique(_least(_grams(hashes, gram), window - gram + 1)))
+                every.append(_grams(hashes, window))
+                of.append(np.full(len(every[-1]), n))
+                at.append(np.arange(len(every[-1])))
+        self.kept = np.unique(np.concatenate(kept))
+        keys, of, at = (np.concatenate(x) for x in (every, of, at))
+        # windows by hash, those of one hash in order of place: the first stands for it
+        order = np.argsort(keys, kind="stable")
+        keys, of, at = keys[order], of[order], at[order]
+        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+        self.keys, self.item, self.place = keys[head], of[head], at[head]
+        key_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+        #: other windows that have the hash of a different one before them
+        self.odd: dict[int, list[tuple[list[bytes], set[int]]]] = {}
+        same = np.ones(len(keys), bool)
+        for i in np.flatnonzero(np.concatenate(([False], keys[1:] == keys[:-1]))[: len(keys)]).tolist():
+            k = int(key_of[i])
+            own = self.words[of[i]][at[i] : at[i] + window]
+            if own != self.words[self.item[k]][self.place[k] : self.place[k] + window]:
+                same[i] = False
+                others = self.odd.setdefault(k, [])
+                known = next((x for x in others if x[0] == own), None) or others.append((own, set())) or others[-1]
+                known[1].add(int(of[i]))
+        self.first = np.searchsorted(key_of[same], np.arange(len(head) + 1))  # the items of each window, one after another
+        self.items = of[same]
+        self.short = {}
+        for n, found in short.items():
+            hashed: dict[int, list[tuple[tuple[bytes, ...], set[int]]]] = {}
+            for own, ids in found.items():
+                data = b" ".join(own)
+                hashed.setdefault(int(_grams(words_of(data)[2], n)[0]), []).append((own, ids))
+            self.short[n] = (np.array(sorted(hashed), np.uint64), hashed)
 
 
 def _in(values: np.ndarray, table_: np.ndarray) -> np.ndarray:
@@ -150,54 +184,68 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, list[tuple[in
     first = np.searchsorted(starts, bounds)  # of each text
     out: list = [(int(b - a), [], set()) for a, b in zip(first, first[1:])]
     doc = np.repeat(np.arange(len(texts)), np.diff(first)) if len(texts) else np.zeros(0, np.int64)
-
-    def word(i: int) -> bytes:
-        return data[starts[i] : ends[i]]
-
-    seen: dict[tuple[int, int], int] = {}  # where the run on a diagonal, as (item, place), ended
-    grams = _grams(hashes, index.gram)
-    wide = index.window - index.gram + 1
-    if len(grams) >= wide and len(index.kept):
-        least = _least(grams, wide)
-        whole = doc[: len(least)] == doc[index.window - 1 : index.window - 1 + len(least)]
-        heads = np.flatnonzero(whole & np.concatenate(([True], (least[1:] != least[:-1]) | ~whole[:-1])))
-        common = np.unique(least[heads[_in(least[heads], index.kept)]])
-        if len(common):
-            least[~whole] = _NONE
-            at = np.flatnonzero(_in(grams, common))
-            chosen = np.zeros(len(at), bool)
-            for back in range(wide):  # is it the least of a window that it lies in?
-                j = at - back
-                ok = (j >= 0) & (j < len(least))
-                chosen[ok] |= (least[j[ok]] == grams[at[ok]]) & whole[j[ok]]
-            for p in at[chosen].tolist():
-                k = int(doc[p])
-                lo, hi = int(first[k]), int(first[k + 1])
-                for n, q in index.places[int(grams[p])]:
-                    own = index.words[n]
-                    if seen.get((n, p - q), -1) > p:
-                        continue
-                    a, b = p, q
-                    while a > lo and b > 0 and word(a - 1) == own[b - 1]:
-                        a, b = a - 1, b - 1
-                    c, d = p, q
-                    while c < hi and d < len(own) and word(c) == own[d]:
-                        c, d = c + 1, d + 1
-                    if c > p:
-                        seen[n, p - q] = c
-                    if c - a >= index.window and c > p:
-                        out[k][1].append((a - lo, c - lo))
-                        out[k][2].add(index.ids[n])
+    size = index.window
+
+    def words(i: int, j: int) -> list[bytes]:
+        return [data[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
+
+    def add(k: int, i: int, j: int) -> None:
+        lo = int(first[k])
+        spans = out[k][1]
+        if spans and i - lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], j - lo))
+        else:
+            spans.append((i - lo, j - lo))
+
+    if len(hashes) >= size and len(index.kept):
+        least = _least(_grams(hashes, index.gram), size - index.gram + 1)
+        at = np.flatnonzero(_in(least, index.kept))
+        at = at[doc[at] == doc[at + size - 1]]
+        sums = np.zeros(len(at), np.uint64)  # of the windows there, as _grams has them
+        for j in range(size):
+            sums = sums * np.uint64(_STEP) + hashes[at + j]
+        sums = _mix(sums)
+        key = np.minimum(np.searchsorted(index.keys, sums), len(index.keys) - 1)
+        hit = index.keys[key] == sums
+        at, key = at[hit], key[hit]
+        item, place = index.item[key], index.place[key]
+        go_on = (at[1:] == at[:-1] + 1) & (item[1:] == item[:-1]) & (place[1:] == place[:-1] + 1) & (doc[at[1:]] == doc[at[:-1]])
+        head = np.flatnonzero(np.concatenate(([True], ~go_on))[: len(at)])
+        found = np.zeros(len(at), bool)
+        ids: dict[int, set[int]] = {}
+        for a, b in zip(head.tolist(), np.append(head[1:], len(at)).tolist()):
+            i, j, q = int(at[a]), int(at[b - 1]) + size, int(place[a])
+            if words(i, j) == index.words[item[a]][q : q + j - i]:
+                found[a:b] = True
+            else:  # equal hashes of different words
+                for x in range(a, b):
+                    q = int(place[x])
+                    found[x] = words(int(at[x]), int(at[x]) + size) == index.words[item[x]][q : q + size]
+            for x in range(a, b) if index.odd else ():
+                own = next((y for w, y in index.odd.get(int(key[x]), ()) if w == words(int(at[x]), int(at[x]) + size)), None)
+                if own is not None:
+                    ids.setdefault(int(doc[at[x]]), set()).update(own)
+                    add(int(doc[at[x]]), int(at[x]), int(at[x]) + size)
+        at, key = at[found], key[found]
+        for i in at.tolist():
+            add(int(doc[i]), i, i + size)
+        pairs = np.unique(np.stack([doc[at], key], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        for k, w in pairs.tolist():
+            ids.setdefault(k, set()).update(index.items[index.first[w] : index.first[w + 1]].tolist())
+        for k, own in ids.items():
+            out[k][2].update(index.ids[n] for n in own)
     for n, (keys, items) in index.short.items():
         grams = _grams(hashes, n)
-        found = np.flatnonzero(_in(grams, keys))
-        found = found[doc[found] == doc[found + n - 1]]
-        for p in found.tolist():
-            for k in items[int(grams[p])]:
-                if all(word(p + i) == index.words[k][i] for i in range(n)):
+        at = np.flatnonzero(_in(grams, keys))
+        at = at[doc[at] == doc[at + n - 1]]
+        for p in at.tolist():
+            own = tuple(words(p, p + n))
+            for those, ids_ in items[int(grams[p])]:
+                if those == own:
                     lo = int(first[doc[p]])
                     out[doc[p]][1].append((p - lo, p - lo + n))
-                    out[doc[p]][2].add(index.ids[k])
+                    if not out[doc[p]][2].issuperset(index.ids[x] for x in ids_):
+                        out[doc[p]][2].update(index.ids[x] for x in ids_)
     return out
 
 
@@ -282,10 +330,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     return numbered.select("row", "doc_id").join(met, "row").select("doc_id", "n_words", "spans", "items").mapInArrow(finish, _FOUND)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that are not contaminated; rows without a doc_id stay, as nothing names them."""
-    gone = contamination(docs, benchmark, **parameters).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5, block_words: int = 500_000) -> DataFrame:
+    """The rows of docs that hold no window of the benchmark (and of no item below `window` words all
+    of it), in docs' own columns. Rows are judged one by one, those without a doc_id as well; nothing is
+    shuffled. Each block of the benchmark but the last is a pass over the rows that are left."""
+    spark = docs.sparkSession
+    blocks = blocks_of(benchmark, window, gram, block_words)
+    index, left, text = next(blocks, None), docs, docs.columns.index("text")
+    passes: list[DataFrame] = []
+    while index is not None:
+        shared = spark.sparkContext.broadcast(index)
+        index = next(blocks, None)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in cut_batches(whole, text):
+                    yield batch.filter(pa.array([not spans for _, spans, _ in find(batch.column(text).to_pylist(), shared.value)], pa.bool_()))
+
+        left = left.mapInArrow(clean, docs.schema)
+        if index is not None:
+            left = stored(left, "clean", *passes[-1:])
+            passes.append(left)
+    return left
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,42 @@ def test_against_brute_force(spark):
 
 def test_remove(spark):
     docs, items = fixture()
+    docs.append((105, " ".join(f"w{i}" for i in range(5000)) + " " + items[7][1] + " end"))  # far below a twentieth
+    docs.append((106, "--- ... ???"))
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    gone = {x[0] for x in brute(docs, items) if x[5]} - {"None"}
-    left = D.remove_contaminated(d, b)
-    assert left.columns == d.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(a) for a, _ in docs if str(a) not in gone)
+    clean = sorted((str(a), t) for a, t in docs if brute([(a, t)], items)[0][2] == 0)
+    assert 0 < len(clean) < len(docs)
+    for size in (500_000, 20):
+        left = D.remove_contaminated(d, b, block_words=size)
+        assert left.columns == d.columns
+        assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted(clean, key=lambda x: (x[0], x[1] or ""))
+        assert {r.n_hit for r in D.contamination(left, b).collect()} == {0}
+    assert D.remove_contaminated(d, b.limit(0)).count() == len(docs)
+
+
+def test_words_that_both_sides_repeat():
+    import time
+
+    times = []
+    for n in (20_000, 80_000):
+        index = D.Index([("a", "the " * n), ("b", "the " * 13), ("c", "the " * 12)], 13, 5)
+        start = time.time()
+        found = D.find(["the " * n + "end", "the " * 11], index)
+        times.append(time.time() - start)
+        assert found[0][0] == n + 1 and found[0][1][0] == (0, n) and found[0][2] == {"a", "b", "c"} and found[1] == (11, [], set())
+    assert times[1] < 12 * times[0] + 1  # in proportion, not with the square
+
+
+def test_windows_with_equal_hashes(monkeypatch):
+    docs, items = fixture()
+    plain = D._grams
+    monkeypatch.setattr(D, "_grams", lambda h, n: plain(h, n) % np.uint64(7))
+    monkeypatch.setattr(D, "_mix", lambda x: x % np.uint64(7))
+    index = D.Index([(str(i), t) for i, t in items if i is not None], 13, 5)
+    assert index.odd
+    got = sorted((str(i), *D._summary(*x)) for (i, _), x in zip(docs, D.find([t for _, t in docs], index)))
+    assert got == brute(docs, items)
 
 
 def test_segments_do_not_change_hashes(monkeypatch):
