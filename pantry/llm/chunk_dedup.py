@@ -13,7 +13,9 @@ answer back is one that adaptive execution can split. Chunks are judged on the i
 
 Defined results for odd rows: a null text is an empty one, which has no chunks. A row without
 doc_id comes after all others. Rows that share a doc_id are versions of one document and do not
-make each other's chunks repeats; with equal texts they fare alike. Other columns are not looked at.
+make each other's chunks repeats; with equal texts they fare alike, and versions are told apart by 64
+bits of a hash of the text. An empty table gives an empty result. A text is taken whole; a very long one
+is a batch of its own. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -69,35 +71,36 @@ def cuts(data: bytes) -> list[int]:
 
 
 def _tag(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF))
+    return F.xxhash64(text)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc, h1, h2, place), a row per chunk; place holds the start, the
-    length less one, whether the digest occurred before in the same text, and a tag of the text."""
+    """docs(doc_id, text) -> (doc, tag, h1, h2, place), a row per chunk; tag is a hash of the text, place
+    holds the start, the length less one, and whether the digest occurred before in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for whole in batches:
             for batch in cut_batches(whole, 1, 1 << 20):
-                docs_, places, digests = [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts, places, digests = [], [], []
+                for text in batch.column(1).to_pylist():
                     data = text.encode("utf-8", "surrogatepass") if text else b""
                     ends = cuts(data)
                     starts = [0, *ends[:-1]]
                     own = [digest(data[a:b]) for a, b in zip(starts, ends)]
-                    tag = xxhash.xxh64_intdigest(data, 42) & 0xFFFFFF
                     seen: set[bytes] = set()
                     for a, b, d in zip(starts, ends, own):
-                        places.append(tag << 40 | a << 9 | (b - a - 1) << 1 | (d in seen))
+                        places.append(a << 9 | (b - a - 1) << 1 | (d in seen))
                         seen.add(d)
-                    docs_ += [doc] * len(own)
+                    counts.append(len(own))
                     digests += own
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.array(places, np.uint64).view(np.int64))], ["doc", "h1", "h2", "place"])
+                doc, tag = (pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([doc, tag, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(places, pa.int64())], ["doc", "tag", "h1", "h2", "place"])
 
-    rows = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc long, h1 long, h2 long, place long")
+    text = F.col("text").cast("string")
+    rows = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"), _tag(text).alias("tag"))
+    return rows.mapInArrow(run, "doc long, tag long, h1 long, h2 long, place long")
 
 
 def repeats(docs: DataFrame, min_run: int = 64) -> DataFrame:
@@ -106,8 +109,7 @@ def repeats(docs: DataFrame, min_run: int = 64) -> DataFrame:
     chunks = chunk_table(docs)
     first = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = chunks.join(first, ["h1", "h2"]).where("first < doc OR place & 1 = 1")
-    met = found.select("doc", F.shiftrightunsigned("place", 40).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"))
-    met = met.groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
+    met = found.groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,3 +69,28 @@ def test_against_brute_force(spark):
     assert left.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(((w[0], w[5]) for w in want), key=repr)
     assert C.measured(df.limit(0)).count() == 0
+
+
+def test_versions_that_short_tags_would_mix_up(spark):
+    import xxhash
+
+    rng = np.random.default_rng(3)
+    seen, pair = {}, None
+    while pair is None:
+        t = "".join(rng.choice(list("abcdefgh "), 650))
+        k = xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFF
+        pair = (seen[k], t) if k in seen else None
+        seen[k] = t
+    a, b = pair
+    rows = [(1, a), (7, a), (7, b), (None, a), (None, b + "?")]
+    got = C.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 64)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in got), key=repr) == [w[:3] for w in want]
+
+
+def test_long_text_over_batch_cuts(spark):
+    rng = np.random.default_rng(4)
+    long = "".join(chr(97 + i) for i in rng.integers(0, 26, (1 << 20) + 5000))
+    rows = [(1, long), (2, "x" + long[-3000:]), (3, long)]
+    got = C.measured(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [w[:4] for w in brute(rows, 64)]
