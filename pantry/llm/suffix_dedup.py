@@ -25,7 +25,8 @@ Hashes only decide where strings meet; whether they are equal is decided on the
 
 Defined results for odd rows: a null text is an empty one. A row without doc_id counts as greater
 than all others. Rows that share a doc_id do not remove from each other, and fare alike if their
-texts are equal. Other columns are not looked at.
+texts are equal. An empty table gives an empty result. A text is taken whole, whatever its length; a
+very long one is a slice of its own. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -321,68 +322,65 @@ def judged(name: np.ndarray, segment: pa.Array, doc: np.ndarray, tag: np.ndarray
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
+    """(doc, text, key); key names the text of a document, so that versions of one, or the texts without
+    doc_id, are not one group. Two that shared a key would only be looked at more closely."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text")).where(F.octet_length("text") > 0)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text")).where(F.octet_length("text") > 0)
+    return rows.withColumn("key", F.xxhash64("doc", "text"))
 
 
 def _encoded(column: pa.Array) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
+#: What a name's row is for: to be met with others, to be passed on as shared, to be met and known as shared.
+ASK, KNOWN, SURE = 0, 1, 2
+
+
 def shared_names(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, name): for every document the names that another document has as well."""
+    """(key, name): for every text the names that another document has as well, and perhaps some more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut_batches(whole, 1, 2 << 20):
                 who, _, _, name = runs(_encoded(batch.column(1)), length)
-                doc = batch.column(0).to_numpy()[who]
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                once = np.concatenate(([True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))[: len(name)]
-                name, doc = name[once], doc[once]
-                head = np.concatenate(([True], name[1:] != name[:-1]))[: len(name)]
-                tail = np.concatenate((head[1:], [True]))[: len(name)]
-                known = ~(head & tail)  # several documents of this slice have it
+                doc, key = (batch.column(i).to_numpy()[who] for i in (0, 2))
+                order = np.lexsort((key, doc, name))
+                name, doc, key = name[order], doc[order], key[order]
+                once = np.concatenate(([True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])))[: len(name)]
+                name, doc, key = name[once], doc[once], key[once]
+                head = _heads(name)
+                n = np.diff(np.append(head, len(name)))
+                several = np.repeat(n > 1, n)  # texts of this slice
+                low, high = (f.reduceat(doc, head) if len(head) else doc for f in (np.minimum, np.maximum))
+                kind = np.where(low < high, SURE, ASK).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((name[head], name[known]))), pa.array(np.concatenate((doc[head], doc[known]))), pa.array(np.repeat([False, True], [head.sum(), known.sum()]))],
-                    ["name", "doc", "known"],
+                    [pa.array(np.concatenate((x[head], x[several]))) for x in (name, doc, key)] + [pa.array(np.concatenate((kind, np.full(several.sum(), KNOWN, np.int8))))],
+                    ["name", "doc", "key", "kind"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int, int] | None = None  # the last row, if nothing has been said of it
-        last = None  # its name
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int8)]  # rows of the last name, while it is not known to be shared
+        shared_name = None  # the last name, if it is
         for batch in batches:
-            known = batch.column(2).to_numpy(zero_copy_only=False)
-            name, doc = (batch.column(i).to_numpy() for i in (0, 1))
-            out_name, out_doc = name[known], doc[known]
-            name, doc = name[~known], doc[~known]
-            more_name, more_doc = [], []
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            known = rows[3] == KNOWN
+            out_name, out_key = rows[0][known], rows[2][known]
+            name, doc, key, kind = (np.concatenate((a, b[~known])) for a, b in zip(held, rows))
             if len(name):
-                first = int(np.argmax(name != name[0])) if (name != name[0]).any() else len(name)
-                if last is not None and name[0] == last:
-                    if before is not None and (doc[:first] != before[1]).any():
-                        more_name.append(before[0])
-                        more_doc.append(before[1])
-                        before = None
-                    spoken = before is None
-                else:
-                    spoken = False
-                head = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-                low, high = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-                shared = low < high
-                if last is not None and name[0] == last and spoken:
-                    shared[0] = True
-                n = np.diff(np.append(head, len(name)))
-                keep = np.repeat(shared, n)
-                out_name, out_doc = np.concatenate((out_name, name[keep])), np.concatenate((out_doc, doc[keep]))
-                last = int(name[-1])
-                before = None if shared[-1] else (last, int(doc[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((out_doc, np.array(more_doc, np.int64)))), pa.array(np.concatenate((out_name, np.array(more_name, np.int64))))], ["doc", "name"])
+                head = _heads(name)
+                shared = (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)) | (np.maximum.reduceat(kind, head) == SURE)
+                if shared_name is not None:
+                    shared |= name[head] == shared_name
+                keep = np.repeat(shared, np.diff(np.append(head, len(name))))
+                out_name, out_key = np.concatenate((out_name, name[keep])), np.concatenate((out_key, key[keep]))
+                shared_name = int(name[-1]) if shared[-1] else None
+                held = [x[len(x) if shared[-1] else head[-1] :] for x in (name, doc, key, kind)]
+            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_name)], ["key", "name"])
 
-    sent = _text_rows(docs).mapInArrow(emit, "name long, doc long, known boolean")
-    dealt = sent.repartition(F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("name"))).sortWithinPartitions("name")
-    return dealt.mapInArrow(meet, "doc long, name long")
+    sent = _text_rows(docs).mapInArrow(emit, "name long, doc long, key long, kind byte")
+    dealt = sent.repartition(F.when(F.col("kind") == KNOWN, F.xxhash64("key")).otherwise(F.col("name"))).sortWithinPartitions("name")
+    return dealt.mapInArrow(meet, "key long, name long")
 
 
 _SEGMENT = "name long, segment binary, doc long, tag long, start int, stop int"
@@ -413,21 +411,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 20_000, index_
     overlap; doc is the doc_id, the greatest long for null, and tag is xxhash64 of the text.
     Segments take several times the room of the text that they cover, so names are dealt with in
     `passes` parts, and the shuffle of one part is gone before the next."""
-    spark = docs.sparkSession
     names = stored(shared_names(docs, length), "names")
-    forget(spark)
-    listed = names.groupBy("doc").agg(F.collect_set("name").alias("names"))
-    rows = stored(_text_rows(docs).withColumn("tag", F.xxhash64("text")).join(listed, "doc").select("doc", "text", "tag", "names"), "named")
-    del listed
-    forget(spark, names)
-    parts = []
-    for part in range(passes):
-        parts.append(stored(_spans_of_part(rows, part, passes, length, most, index_bytes), "spans"))
-        forget(spark)
+    listed = names.groupBy("key").agg(F.collect_set("name").alias("names"))
+    rows = _text_rows(docs).withColumn("tag", F.xxhash64("text")).join(listed, "key").select("doc", "text", "tag", "names")
+    rows = stored(rows, "named", names)
+    parts = [stored(_spans_of_part(rows, part, passes, length, most, index_bytes), "spans") for part in range(passes)]
+    forget(rows)
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
-    forget(spark, rows)
     spans = found.where("segment IS NULL").select("doc", "tag", "start", "stop")
     left = found.where("segment IS NOT NULL")
     return spans if left.isEmpty() else spans.union(_single_strings(left, length))

@@ -69,3 +69,24 @@ def test_against_brute_force(spark, tmp_path):
         small = sorted(((r.doc_id, sum(s.stop - s.start for s in r.spans or ()), len(r.spans or ())) for r in found), key=repr)
         assert small == sorted(((w[0], w[2], w[3]) for w in brute(rows)), key=repr)
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_versions_and_texts_without_an_id(spark):
+    """Many texts under one doc_id, or none: each looks at its own names, and finds what any version has."""
+    rng = np.random.default_rng(10)
+    text = lambda n: "".join(rng.choice(list("abcdef "), n))
+    shared = [text(80) for _ in range(30)]
+    rows = [(None, text(60) + shared[i % 30] + text(60)) for i in range(120)] + [(7, text(100) + shared[i]) for i in range(30)] + [(9, shared[i] + text(30)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    names = S.shared_names(df, 50).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert names < 40
+    got = sorted(((r.doc_id, sum(s.stop - s.start for s in r.spans or ()), len(r.spans or ())) for r in S.remove_repeats(df).collect()), key=repr)
+    assert got == sorted(((w[0], w[2], w[3]) for w in brute(rows)), key=repr)
+
+
+def test_long_text_over_slice_cuts(spark):
+    rng = np.random.default_rng(11)
+    long = "".join(chr(97 + i) for i in rng.integers(0, 26, (2 << 20) + 5000))
+    rows = [(1, long), (2, "x" + long[-3000:] + "y"), (3, "z" + long[1 << 20 : (1 << 20) + 60])]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, [tuple(s) for s in r.spans or ()]) for r in got) == [(1, []), (2, [(1, 3001)]), (3, [(1, 61)])]
