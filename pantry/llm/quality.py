@@ -7,15 +7,20 @@ against the dictionaries all the way and not against its own beginning; the whol
 logistic curve, fitted on labelled rows that neither dictionary has seen, turns the difference
 into a probability.
 
-Learning takes at most `max_rows` labelled rows of each class for each of the two purposes, and
-at most `max_chars` characters of each: those are the bounds of the sample, and it is chosen by a
-hash of doc_id. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from. Of the rest,
-remainder 4 fits the curve and 1 to 3 train the dictionaries. Nothing but the text enters a score.
+Learning takes at most `max_rows` labelled rows of each class for each of the two purposes, chosen by
+a hash of doc_id; those are the bounds of the sample. Rows whose crc32(doc_id as text) mod 5 is 0 are
+never learned from. Of the rest, remainder 4 fits the curve and 1 to 3 train the dictionaries. Texts are
+taken whole: the curve is fitted on differences that executors take over whole texts, so only a number
+a row reaches the driver; the texts for the dictionaries are cut into pieces all along, and of these a
+class gives `max_pieces`, chosen by a hash of doc_id and place, as a dictionary is trained in one process.
+Nothing but the text enters a score.
 
 Defined results for odd rows: a null text counts as empty, and an empty text has difference zero.
 A row without a doc_id is scored, is not held out, and teaches nothing. A doc_id with labels that
-contradict each other teaches nothing. Where a class has no labelled text, every difference is
-zero and the score is the share of good rows among those that were learned from (1 if none).
+contradict each other teaches nothing. Of rows that share a doc_id the one whose text has the least
+hash teaches, whatever the order of rows; all are scored. Where a class has no labelled text, every difference is
+zero and the score is the share of good rows among those that were learned from (1 if none). An empty
+table gives an empty result. Texts are scored whole, one at a time. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, stored, table
 
 PIECE = 2048
 TRAIN_PIECE = 1024
@@ -68,15 +73,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.offset, -40, 40)))
 
 
-def _dictionary(texts: list[str], size: int, seed: int, most: int = 6000) -> bytes | None:
-    pieces = [p for t in texts for d in [t.encode("utf-8", "replace")] for p in (d[a : a + TRAIN_PIECE] for a in range(0, len(d), TRAIN_PIECE))]
+def _dictionary(pieces: list[bytes], size: int) -> bytes | None:
     if not pieces:
         return None
-    chosen = [pieces[i] for i in np.random.default_rng(seed).permutation(len(pieces))[:most]]
     try:
-        return zstandard.train_dictionary(size, chosen).as_bytes()
+        return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        return b"".join(chosen)[-size:]
+        return b"".join(pieces)[-size:]
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -99,8 +102,9 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 16_384, dictionary_bytes: int = 65_536) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality)."""
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, quality, rest, text): the rows to learn from, 4 * max_rows at most, a text each; and the
+    whole pool (doc_id, quality, rest) that they are taken from."""
     pool = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -108,25 +112,49 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: i
         .where("quality = high").drop("high").withColumn("rest", remainder(F.col("doc_id"))).where("rest <> 0")
     )
     order = F.xxhash64(F.lit("quality"), "doc_id")
-    parts = [pool.where(f"quality = {q} AND {use}").orderBy(order).limit(max_rows) for q in (0, 1) for use in ("rest < 4", "rest = 4")]
+    parts = [pool.where(f"quality = {q} AND {use}").orderBy(order, "doc_id").limit(max_rows) for q in (0, 1) for use in ("rest < 4", "rest = 4")]
     chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])  # 4 * max_rows ids at most
-    rows = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "rest", F.substring("text", 1, max_chars).alias("text"))
-        .dropDuplicates(["doc_id"]).collect()
-    )
-    rows.sort(key=lambda r: r.doc_id)
-    text = {q: [r.text for r in rows if r.rest < 4 and r.quality == q] for q in (0, 1)}
-    fit = [r for r in rows if r.rest == 4] or rows
-    model = Model(_dictionary(text[1], dictionary_bytes, 1), _dictionary(text[0], dictionary_bytes, 2), 0.0, 0.0)
-    # classes are weighted to their shares in the whole pool, as the sample takes as many of either
-    shares = {r.quality: r["n"] for r in pool.where("rest = 4").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if model.good is None or model.bad is None or len({r.quality for r in fit}) < 2:
-        share = np.mean([r.quality for r in rows]) if rows else 1.0
-        share = min(max(float(share), 1e-6), 1 - 1e-6)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("t"))
+    rows = rows.where("doc_id IS NOT NULL AND t.text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "quality", "rest").agg(F.min("t").alias("t")).select("doc_id", "quality", "rest", "t.text"), pool
+
+
+def pieces_of(rows: DataFrame, max_pieces: int) -> dict[int, list[bytes]]:
+    """By class, pieces of the rows(doc_id, quality, text), `max_pieces` at most, in the order of their hash."""
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [d[a : a + TRAIN_PIECE] for d in [t.encode("utf-8", "replace")] for a in range(0, len(d), TRAIN_PIECE)])
+
+    each = rows.select("doc_id", "quality", F.posexplode(cut("text")).alias("place", "piece"))
+    order = F.xxhash64(F.lit("pieces"), "doc_id", "place")
+    return {q: [bytes(r.piece) for r in each.where(f"quality = {q}").orderBy(order, "doc_id", "place").limit(max_pieces).collect()] for q in (0, 1)}
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_pieces: int = 6000, dictionary_bytes: int = 65_536) -> Model:
+    """docs(doc_id, text), labels(doc_id, quality)."""
+    rows, pool = labelled(docs, labels, max_rows)
+    rows = stored(rows, "labelled")
+    pieces = pieces_of(rows.where("rest < 4"), max_pieces)
+    model = Model(_dictionary(pieces[1], dictionary_bytes), _dictionary(pieces[0], dictionary_bytes), 0.0, 0.0)
+
+    @F.pandas_udf("double")
+    def difference(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.differences(texts.tolist()))
+
+    fit = rows.where("rest = 4").select("doc_id", "quality", difference("text").alias("x")).collect() if model.good and model.bad else []
+    fit.sort(key=lambda r: r.doc_id)
+    if len({r.quality for r in fit}) < 2:
+        kinds = [r.quality for r in rows.select("quality").collect()]
+        share = min(max(float(np.mean(kinds)) if kinds else 1.0, 1e-6), 1 - 1e-6)
+        forget(rows)
         return Model(model.good, model.bad, 0.0, float(np.log(share / (1 - share))))
+    forget(rows)
     y = np.array([r.quality for r in fit], float)
-    slope, offset = _curve(model.differences([r.text for r in fit]), y)
+    slope, offset = _curve(np.array([r.x for r in fit]), y)
+    # classes are weighted to their shares in the whole pool, as the sample takes as many of either
+    shares = {r.quality: r["n"] for r in pool.where("rest = 4").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(shares) == 2:  # from the sample's odds to the pool's
         offset += float(np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return Model(model.good, model.bad, slope, offset, model.level)
