@@ -9,7 +9,12 @@ survives all blocks has its exact score. The best k of each cell meet in a last
 Spark cuts to k per query before its shuffle.
 
 Components are integers, so scores are exact; where their size could leave the exact range of
-doubles, the cell works on Python's integers, and a score beyond a long is held at its end.
+doubles, bounds are widened by what sums of doubles can be off, and the candidates that survive get
+their scores on Python's integers; a score beyond a long is held at its end.
+
+Every query is sent to each of the rows / `block_rows` columns of cells and every vector to each of the
+queries / `query_rows` rows of cells: that is the shuffle of an exact search of all by all, and larger cells
+make it smaller, as far as memory goes. Vectors are dealt to cells by a hash of their row number, evenly.
 
 Defined results for odd rows: vectors that are null, or hold null or non-finite components, and
 rows without vec_id take no part. Vectors of different length are not compared. Rows with the
@@ -27,28 +32,23 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 EXACT = 2.0**52
+LOW, HIGH = -(2**63), 2**63 - 1
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, dims: int = 16):
     """queries(q, d), vectors(n, d), integers -> for each query the candidates (index, score) that
     can be among the best k, ties included."""
     d = queries.shape[1] if queries.ndim == 2 else 0
+    whole_queries, whole_vectors = queries, vectors
     size = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(vectors.astype(float)).max(initial=0)) * max(d, 1)
-    if size >= EXACT:
-        low, high = -(2**63), 2**63 - 1
-        for q, own in zip(queries.astype(object), query_ids):
-            at = np.flatnonzero(ids != own)
-            scores = [max(low, min(high, int(sum(a * b for a, b in zip(q, v))))) for v in vectors[at].astype(object)]
-            order = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
-            yield [(int(at[i]), scores[i]) for i in order]
-        return
+    error = size * 2.0**-44 if size >= EXACT else 0.0  # what sums of doubles can be off by
     vectors = vectors.astype(np.float64)
     order = np.argsort(-(vectors * vectors).sum(axis=0), kind="stable")  # the heaviest dimensions first
     columns = np.ascontiguousarray(vectors[:, order].T)
     queries = queries[:, order].astype(np.float64)
     cuts = list(range(0, d, dims)) or [0]
     left = [np.sqrt((columns[c + dims :] ** 2).sum(axis=0)) for c in cuts]
-    for q, own in zip(queries, query_ids):
+    for n, (q, own) in enumerate(zip(queries, query_ids)):
         alive = np.flatnonzero(ids != own)
         score = np.zeros(len(alive))
         whole = len(alive) == len(ids)
@@ -59,11 +59,17 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                 continue
             slack = rest[alive] * np.sqrt((q[c + dims :] ** 2).sum()) * (1 + 1e-9)
             slack[slack > 0] += 1e-3
+            slack += error
             mark = np.partition(score - slack, len(alive) - k)[len(alive) - k]
             stay = score + slack >= mark
             if not stay.all():
                 alive, score, whole = alive[stay], score[stay], False
-        best = np.lexsort((ids[alive], -score))[:k]
+        if error:  # the few that are left, on integers of any size
+            u = [int(x) for x in whole_queries[n]]
+            score = np.array([max(LOW, min(HIGH, sum(a * int(b) for a, b in zip(u, whole_vectors[i])))) for i in alive], np.int64)
+            best = sorted(range(len(alive)), key=lambda i: (-int(score[i]), ids[alive[i]]))[:k]
+        else:
+            best = np.lexsort((ids[alive], -score))[:k]
         yield [(int(alive[i]), int(score[i])) for i in best]
 
 
@@ -72,9 +78,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, query_rows: int =
     (query_row, query_id, rank, vec_id, score). Both are read from where they are stored."""
     n, m = vectors.count(), queries.count()
     across, down = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    q = queries.select("query_row", "query_id", "v", F.size("v").alias("d"), F.pmod(F.col("query_row"), F.lit(down)).alias("down"))
+    q = queries.select("query_row", "query_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("query_row"), F.lit(down)).cast("long").alias("down"))
     q = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("across"))
-    v = vectors.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.monotonically_increasing_id(), F.lit(across)).cast("long").alias("across"))
+    v = vectors.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(across)).cast("long").alias("across"))
     v = v.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("down"))
     kinds = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 

@@ -54,3 +54,15 @@ def test_pruning_keeps_ties():
     for i, got in enumerate(T.search_block(q, np.full(20, -1), v, ids, 5, dims=4)):
         want = sorted(range(500), key=lambda j: (-int(q[i] @ v[j]), ids[j]))[:5]
         assert [g[0] for g in got] == want
+
+
+def test_huge_components_against_brute_force():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-(2**29), 2**29, (300, 40))
+    v[150:200] = v[0]
+    v[200:, 0] += rng.integers(0, 2, 100)
+    q, ids = v[[0, 7, 250]], np.arange(300)[::-1].copy()
+    for own, got in zip(q, T.search_block(q, np.full(3, -1), v, ids, 5)):
+        scores = [sum(int(a) * int(b) for a, b in zip(own, w)) for w in v]
+        want = sorted(range(300), key=lambda j: (-scores[j], ids[j]))[:5]
+        assert got == [(j, max(-(2**63), min(2**63 - 1, scores[j]))) for j in want]
