@@ -9,12 +9,18 @@ edges. A url with a rule of its own has that rule's verdict. Any other is blocke
 of its component is blocked by a rule and none is allowed by one (explicit allow precedes), and
 allowed otherwise. Members that only occur as link targets count too.
 
+Links are every `<link rel=canonical>` of a page and every `<meta http-equiv=refresh>` without delay,
+outside of comments; character references in them are decoded (numeric ones, and the named ones that
+urls have: amp, lt, gt, quot, apos, nbsp), and relative targets are resolved against the page's url with
+`.` and `..` taken out, as browsers do (`<base>` is not looked at).
+
 Up to INLINE_RULES rules are part of the plan; longer lists are joined on the host and its parent
-domains, a handful of rows per distinct host and path.
+domains, a handful of rows per distinct host and path. Results are the same.
 
 Defined results for odd rows: a null url or one without `://` has empty host and path, fits no
 rule with a host, has no aliases and is allowed. A null html has no links. Repeated rows stay
-repeated; other columns are not looked at. An empty table gives an empty result.
+repeated; other columns are not looked at. An empty table gives an empty result. Very long urls and
+pages are read whole.
 """
 
 from __future__ import annotations
@@ -38,10 +44,11 @@ RULES = (
 )
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+_COMMENT = r"(?s)<!--.*?-->"
+_TAG = r"""(?is)<%s(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: The named references that occur in urls.
+REFERENCES = {"quot": '"', "lt": "<", "gt": ">", "apos": "'", "nbsp": "\u00a0", "amp": "&"}
 
 
 def host_of(url: Column) -> Column:
@@ -62,15 +69,57 @@ def node_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query_of(url)))
 
 
-def _resolved(target: Column, url: Column) -> Column:
+def decoded(text: Column) -> Column:
+    """Character references replaced. Those of `&` come last, so nothing is decoded twice."""
+
+    def one(done: Column, m: Column) -> Column:
+        hex_ = F.regexp_extract(m, "^&#[xX]0*([0-9a-fA-F]{1,6});?$", 1)
+        code = F.coalesce(F.conv(F.nullif(hex_, F.lit("")), 16, 10), F.regexp_extract(m, "^&#0*([0-9]{1,7});?$", 1)).try_cast("int")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        return F.when(valid, F.replace(done, m, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(done)
+
+    numeric = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]+|[0-9]+);?"), F.lit(0)))
+    numeric = F.array_sort(numeric, lambda x, y: F.length(y) - F.length(x))  # one may be the start of another
+    out = F.aggregate(numeric, text, one)
+    for name, sign in REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign)) if name != "amp" else F.regexp_replace(out, "&(?:amp|#0*38|#[xX]0*26);|&#0*38(?![0-9])|&#[xX]0*26(?![0-9a-fA-F])", "&")
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The raw value of a tag's attribute; empty where it has none."""
+    pattern = rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""(?s)^["']|["']$|[\t\n\r]""", "")
+
+
+def without_dots(path: Column) -> Column:
+    """`.` and `..` segments taken out of a path that starts with a slash."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == ".", done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last, F.lit("/")).otherwise(F.lit("")))
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?(/|$)")), joined).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The url that a link on a page at `url` leads to; null for other schemes without `//`."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
     root = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    target = F.regexp_replace(target, "(?s)#.*$", "")
+    before, query = F.regexp_extract(target, r"(?s)^([^?]*)", 1), F.regexp_extract(target, r"(?s)^[^?]*(\?.*)?$", 1)
     return (
-        F.when(F.contains(target, F.lit("://")), target)
+        F.when(F.regexp_like(target, F.lit(_SCHEME + "//")), target)
+        .when(F.regexp_like(target, F.lit(_SCHEME)), F.lit(None))
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
-        .when(target != "", F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, without_dots(before), query))
+        .when(before != "", F.concat(root, without_dots(F.concat(folder, before)), query))
+        .when(query != "", F.concat(root, path_of(url), query))
+        .otherwise(url)
     )
 
 
@@ -78,12 +127,25 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """pages(url, html) -> (u, v): nodes joined by a canonical link or an immediate redirect."""
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("url IS NOT NULL AND html IS NOT NULL")
     rows = rows.where(F.col("html").rlike("(?i)canonical|refresh"))
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _URL, 1),
-    )
-    found = rows.select("url", F.explode(targets).alias("target")).where("target <> ''")
-    return found.select(node_of(F.col("url")).alias("u"), node_of(_resolved(F.col("target"), F.col("url"))).alias("v")).where("u <> v").distinct()
+    html = F.regexp_replace("html", _COMMENT, "")
+    tags = rows.select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG % "(?:link|meta)"), F.lit(0))).alias("tag"))
+    names = ("rel", "href", "http-equiv", "content")
+    tags = tags.select("url", F.regexp_like("tag", F.lit("(?i)^<link")).alias("link"), *[attribute(F.col("tag"), n).alias(n.replace("-", "_")) for n in names])
+    canonical = F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    raw = F.when(F.col("link") & canonical, F.col("href")).when(~F.col("link") & (F.lower("http_equiv") == "refresh"), F.col("content"))
+    told = tags.select("url", "link", _some(raw, "raw")).select("url", "link", _some(decoded(F.col("raw")), "told"))
+    refresh = F.regexp_like("told", F.lit(r"(?i)^\s*0*(\.0*)?\s*[;,\s]\s*url\s*="))
+    aim = F.regexp_extract("told", r"""(?is)^[^;,]*?[;,\s]\s*url\s*=\s*["']?\s*([^"']*)""", 1)
+    found = told.select("url", _some(F.trim(F.when(F.col("link"), F.col("told")).when(refresh, aim)), "target"))
+    found = found.select("url", _some(resolved(F.col("target"), F.col("url")), "full"))
+    found = found.select(_some(node_of(F.col("url")), "u"), "full").select("u", _some(node_of(F.col("full")), "v"))
+    return found.where("u <> v").distinct()
+
+
+def _some(value: Column, name: str) -> Column:
+    """The value where it is neither null nor empty, else no row; what follows sees a column, not the
+    expression, so nothing is computed twice."""
+    return F.explode(F.filter(F.array(value), lambda x: x != "")).alias(name)
 
 
 def _ordered(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:

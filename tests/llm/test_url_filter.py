@@ -43,3 +43,86 @@ def test_blocks_reach_aliases_unless_one_is_allowed(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block"}
     more = spark.createDataFrame([("http://h.net/8", "http://z.com/de/9")], "src string, dst string")
     assert judged(spark, rows, more_edges=more)[7][3] == "block"
+
+
+def links(spark, rows):
+    df = spark.createDataFrame(rows, "url string, html string")
+    return {(r.u, r.v) for r in U.link_edges(df).collect()}
+
+
+def test_links_are_what_a_parser_reads(spark):
+    """Every link of a page, against Python's HTML parser and its joining of urls."""
+    from html.parser import HTMLParser
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    targets = [
+        "http://x.net/p?a=1&amp;b=2", "../z", "./y/../z", "../../../up", "/abs/./q", "//other.net/k", "?only=query", "#part", "deep/er/", "..", "http://X.net/a&#x2F;b", "&#104;ttp://h.net/&#38;c",
+        "http://x.net/&#233;&#x1F600;", "http://x.net/&amp;amp;lt;", "mailto:a@b.c", " /spaces ", "x.html#frag", "a&quot;b", "http://y.net/&lt;&gt;", "q?u=http://z.net/..", "", "&#380;x", "&#38;#97;",
+    ]
+    pages = ["http://d.net/x/y/3?k=v", "http://D.net", "https://d.net/only"]
+    rows = []
+    for page in pages:
+        for t in targets:
+            rows += [(page, PAGE.format(t)), (page, f"<LINK REL='nofollow Canonical' data-href='no' HREF='{t}'>"), (page, f'<meta http-equiv="refresh" content="0; URL={t}">')]
+    rows += [
+        (pages[0], PAGE.format("one") + PAGE.format("two")), (pages[0], "<!-- " + PAGE.format("hidden") + " -->"), (pages[0], '<meta http-equiv=refresh content="900; url=late">'),
+        (pages[0], '<meta content="0;url=soon" http-equiv=refresh>'), (pages[0], "<link rel=canonical href=bare>"), (pages[0], '<link rel="alternate" href="canonical">'), (pages[0], None), (None, PAGE.format("x")), ("no scheme", PAGE.format("x")),
+    ]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = {k: v or "" for k, v in attrs}
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+                self.found.append(a.get("href", ""))
+            content = a.get("content", "").strip()
+            if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and content.split(";")[0].strip() == "0":
+                self.found.append(content.partition("=")[2].partition('"')[0])
+
+        handle_startendtag = handle_starttag
+
+    def node(url):
+        s = urlsplit(url)
+        return s.netloc.lower() + (s.path or "/") + ("?" + s.query if s.query else "")
+
+    want = set()
+    for page, html in rows:
+        if page is None or html is None or "://" not in page:
+            continue
+        reader = Reader()
+        reader.found = []
+        reader.feed(html)
+        for t in reader.found:
+            full = urldefrag(urljoin(page, t.strip()))[0]
+            if t.strip() and "://" in full and node(full) != node(page):
+                want.add((node(page), node(full)))
+    assert links(spark, rows) == want
+
+
+def test_blocks_over_links_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    names = [f"http://h{i}.{rng.choice(['net', 'com', 'org'])}/{rng.choice(['de', 'fr', 'x'])}/{i}?a={i}&b=1" for i in range(60)]
+    pages = [(i, n, "".join(PAGE.format(rng.choice(names).replace("&", "&amp;")) for _ in range(rng.choice([0, 0, 1, 2])))) for i, n in enumerate(names)]
+    near = {n: {n} for n in names}
+    for _, n, html in pages:
+        for t in html.split('href="')[1:]:
+            t = t.split('"')[0].replace("&amp;", "&")
+            near[n].add(t)
+            near[t].add(n)
+    said = {n: U_verdict(n) for n in names}
+    got = judged(spark, pages)
+    for i, n, _ in pages:
+        reach, work = {n}, [n]
+        while work:
+            for m in near[work.pop()] - reach:
+                reach.add(m)
+                work.append(m)
+        kinds = {said[m] for m in reach}
+        assert got[i][3] == (said[n] or ("block" if "block" in kinds and "allow" not in kinds else "allow")), n
+
+
+def U_verdict(url):
+    host, _, path = url.partition("://")[2].partition("/")
+    hits = [(len(h + p), v) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and ("/" + path.partition("?")[0]).startswith(p)]
+    return max(hits)[1] if hits else None
