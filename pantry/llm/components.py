@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(_large_star(now)), "edges", now)
         after = _summary(now)
         if after == before:
             break
