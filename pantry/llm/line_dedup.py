@@ -165,48 +165,38 @@ def overlaps(docs: DataFrame, min_chars: int = 20) -> tuple[DataFrame, tuple[Dat
 
 
 def aligned_blocks(matches: DataFrame) -> DataFrame:
-    """(doc, tag, blocks): the aligned blocks of each later document, with the earlier document, where
-    the block starts in either, and its lines."""
+    """(doc, tag, blocks, keep): the aligned blocks of each later document, with the earlier document, where
+    the block starts in either, and its lines; keep has a boolean per line up to the last that goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("earlier", pa.int64()), ("start_earlier", pa.int32()), ("start", pa.int32()), ("lines", pa.int32())]))
-        for batch in batches:
-            out = []
-            for rows in batch.column(2).to_pylist():
-                pairs: dict[tuple[int, int], dict[int, int]] = {}
-                for r in rows:
-                    e = r["e"]
-                    pairs.setdefault((e["doc"], e["tag"]), {})[r["at"]] = e["at"]
-                found = [(key[0], *block) for key, places in pairs.items() for chain in patience([(x, y) for y, x in places.items()]) for block in blocks_of(chain)]
-                found.sort(key=lambda b: (b[2], b[0], b[1]))
-                out.append([dict(zip(("earlier", "start_earlier", "start", "lines"), b)) for b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc", "tag", "blocks"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                out, masks = [], []
+                for rows in batch.column(2).to_pylist():
+                    pairs: dict[tuple[int, int], dict[int, int]] = {}
+                    for r in rows:
+                        e = r["e"]
+                        pairs.setdefault((e["doc"], e["tag"]), {})[r["at"]] = e["at"]
+                    found = [(key[0], *block) for key, places in pairs.items() for chain in patience([(x, y) for y, x in places.items()]) for block in blocks_of(chain)]
+                    found.sort(key=lambda b: (b[2], b[0], b[1]))
+                    out.append([dict(zip(("earlier", "start_earlier", "start", "lines"), b)) for b in found])
+                    keep = np.ones(max(b[2] + b[3] for b in found), bool)
+                    for _, _, start, n in found:
+                        keep[start : start + n] = False
+                    masks.append(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), pa.array(masks, pa.list_(pa.bool_()))], ["doc", "tag", "blocks", "keep"])
 
     met = matches.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "e")).alias("rows"))
-    return met.mapInArrow(run, "doc long, tag long, blocks array<struct<earlier: long, start_earlier: int, start: int, lines: int>>")
-
-
-def _masks(blocks: DataFrame) -> DataFrame:
-    """(doc, tag, keep): a boolean per line up to the last that goes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for many in batch.column(2).to_pylist():
-                keep = np.ones(max(b["start"] + b["lines"] for b in many), bool)
-                for b in many:
-                    keep[b["start"] : b["start"] + b["lines"]] = False
-                out.append(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["doc", "tag", "keep"])
-
-    return blocks.mapInArrow(run, "doc long, tag long, keep array<boolean>")
+    return met.mapInArrow(run, "doc long, tag long, blocks array<struct<earlier: long, start_earlier: int, start: int, lines: int>>, keep array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, added: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
     """docs with its own columns, deleted lines taken out of `text`, and at the end the numbers of
     lines and of deleted lines, named by `added`."""
     matches, tables = overlaps(docs, min_chars)
-    masks = stored(_masks(aligned_blocks(matches)), "masks", *tables)
+    masks = stored(aligned_blocks(matches).select("doc", "tag", "keep"), "masks", *tables)
     text = F.col("text").cast("string")
     one, two, three = (f"_{n}_of_line_dedup" for n in ("doc", "tag", "keep"))
     masks = masks.select(F.col("doc").alias(one), F.col("tag").alias(two), F.col("keep").alias(three))
