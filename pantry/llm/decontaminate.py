@@ -45,6 +45,8 @@ _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
 _SEGMENT = 1 << 20
+#: Bytes of text that are looked at together, or one longer text.
+SLICE = 2 << 20
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -296,7 +298,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in cut_batches(whole, 1):
+                for batch in cut_batches(whole, 1, SLICE):
                     got = [_summary(*x) for x in find(batch.column(1).to_pylist(), shared.value)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(got)], names)
 
@@ -309,7 +311,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
 
         def spans(batches: Iterator[pa.RecordBatch], shared=shared, everything=last) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in cut_batches(whole, 1):
+                for batch in cut_batches(whole, 1, SLICE):
                     got = [(r, n, [x for s in sp for x in s], sorted(it)) for r, (n, sp, it) in zip(batch.column(0).to_pylist(), find(batch.column(1).to_pylist(), shared.value)) if sp or everything]
                     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["row", "n_words", "spans", "items"])
@@ -344,7 +346,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in cut_batches(whole, text):
+                for batch in cut_batches(whole, text, SLICE):
                     yield batch.filter(pa.array([not spans for _, spans, _ in find(batch.column(text).to_pylist(), shared.value)], pa.bool_()))
 
         left = left.mapInArrow(clean, docs.schema)

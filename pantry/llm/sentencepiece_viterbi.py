@@ -16,7 +16,9 @@ gives exactly what merging gives, and prefixes share it as they share Viterbi's.
 Characters that no piece covers become byte pieces, or the unknown id where the model has none.
 
 Defined results for odd rows: a null text is an empty one, which has no ids. Repeated rows stay
-repeated, and other columns are not looked at. Text that holds the mark itself decodes to spaces.
+repeated, and other columns are not looked at. Text that holds the mark itself decodes to spaces. An empty
+table gives an empty result. A text is taken whole, whatever its length; a very long one is a slice of its own,
+and what a worker remembers between slices is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words of one generation (two are kept), and pairs of pieces, that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes, about, of the words of one generation (two are kept) that a worker remembers; and pairs of pieces.
+REMEMBERED = 24 << 20
+PAIRS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,6 +103,7 @@ class Model:
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.recent: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
+        self.held = 0
         self._pairs: dict[tuple[str, str], bool] = {}
 
     # text and words
@@ -140,7 +144,7 @@ class Model:
     def compatible(self, a: str, b: str) -> bool:
         got = self._pairs.get((a, b))
         if got is None:
-            if len(self._pairs) >= REMEMBERED:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             got = self._pairs[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -221,19 +225,21 @@ class Model:
         former goes when the recent one is full."""
         cut = [_WORDS.findall(self.normalised(t or "")) for t in texts]
         words = set().union(*cut)
-        if len(self.recent) > REMEMBERED:
-            self.recent, self.former = {}, self.recent
+        if self.held > REMEMBERED:
+            self.recent, self.former, self.held = {}, self.recent, 0
         memory, former = self.recent, self.former
         new = []
         for word in words:
             if word not in memory:
                 if word in former:
                     memory[word] = former[word]
+                    self.held += 4 * len(word) + len(former[word]) + 200
                 else:
                     new.append(word)
         new.sort()
         for word, ids in zip(new, self.encode_sorted(new)):
-            memory[word] = np.array(ids, np.int32).tobytes()
+            memory[word] = own = np.array(ids, np.int32).tobytes()
+            self.held += 4 * len(word) + len(own) + 200
         return [np.frombuffer(b"".join([memory[w] for w in words]), np.int32) for words in cut]
 
     @cached_property
@@ -277,7 +283,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for whole in batches:
-            for batch in cut_batches(whole, 1, 4 << 20):
+            for batch in cut_batches(whole, 1, 2 << 20):
                 texts = batch.column(1).to_pylist()
                 ids = model.encode(texts)
                 same = [model.decode(x) == (t or "") for x, t in zip(ids, texts)]
