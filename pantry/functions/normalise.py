@@ -10,7 +10,7 @@ import html
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -32,6 +32,12 @@ def bound(c: Column, step: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), step), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often what follows looks at it: a step of its
+    own, which the optimiser does not merge with others."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def remove_prices(c: Column) -> Column:
     marks = "|".join("\\" + m if m == "$" else m for m in C.CURRENCIES)
     return F.regexp_replace(c, rf"(?U)\(\s*(?:{marks})\s*[0-9.,]+\**\s*\)", "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
+from .normalise import once
 
 # Fixed values: (from, to, predicate, parameter), applied in this order at each position.
 RULES = (
@@ -33,6 +34,8 @@ RULES = (
     ("NN", "VBG", "CURRENT-WORD-ENDS-WITH", "ing"),
 )
 
+#: A bound on what is broadcast; a word takes some hundred bytes.
+BROADCAST_WORDS = 1_000_000
 _WHOLE = re.compile(r"\s*([+-]?(Infinity|\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?\s*", re.ASCII)
 _START = re.compile(r"\s*[+-]?(Infinity|\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)", re.ASCII)
 
@@ -77,9 +80,20 @@ def default_tag(token: Column | str) -> Column:
 
 def lexicon_tags(df: DataFrame, keys: list[str], tokens: str, lexicon: DataFrame, out: str = "tags") -> DataFrame:
     """df with `out`, a tag per token: the tag of the word as written, else of the word in lower case,
-    else by its capital. `keys` name a row; lexicon(word, tag), of a word's tags the least counts. Whether
-    the lexicon is broadcast is Spark's decision by its size. Null tokens give null, no tokens none."""
-    words = lexicon.groupBy("word").agg(F.min("tag").alias("tag"))
+    else by its capital. `keys` name a row; lexicon(word, tag), of a word's tags the least counts. A lexicon of up
+    to BROADCAST_WORDS words is broadcast and looked up without a shuffle, a larger one is joined. Null tokens give null, no tokens none."""
+    words = lexicon.where("word IS NOT NULL").groupBy("word").agg(F.min("tag").alias("tag"))
+    known = words.limit(BROADCAST_WORDS + 1).collect()
+    if len(known) <= BROADCAST_WORDS:
+        shared = df.sparkSession.sparkContext.broadcast({r.word: r.tag for r in known if r.tag is not None})
+
+        @F.pandas_udf("array<string>")
+        def look(sentences: pd.Series) -> pd.Series:
+            get = shared.value.get
+            one = lambda t: None if t is None else get(t) or get(t.lower()) or ("NNP" if "A" <= t[:1] <= "Z" else "NN")
+            return sentences.map(lambda s: None if s is None else [one(t) for t in s])
+
+        return df.withColumn(out, look(tokens))
     each = df.select(*keys, F.posexplode(tokens).alias("_at", "_token"))
     each = each.join(words.select(F.col("word").alias("_token"), F.col("tag").alias("_exact")), "_token", "left")
     each = each.withColumn("_lower", F.lower("_token")).join(words.select(F.col("word").alias("_lower"), F.col("tag").alias("_folded")), "_lower", "left")
@@ -131,4 +145,4 @@ def override_tags(tokens: Column | str, tags: Column | str) -> Column:
 def tag(df: DataFrame, keys: list[str], tokens: str, lexicon: DataFrame, rules: Sequence[tuple] = RULES, out: str = "tags") -> DataFrame:
     """df with `out`: lexicon, rules, overrides."""
     found = lexicon_tags(df, keys, tokens, lexicon, out)
-    return found.withColumn(out, apply_rules(tokens, out, rules)).withColumn(out, override_tags(tokens, out))
+    return once(once(found, out, apply_rules(tokens, out, rules)), out, override_tags(tokens, out))

@@ -1,7 +1,8 @@
 """The sequence model: integer weights, best labels by Viterbi, marginals by forward and backward sums.
 
-Scores of tokens are a join and an exact integer sum that Spark combines before its shuffle; only the
-matrix of a sentence, tokens x labels, reaches Python.
+A model of up to BROADCAST_WEIGHTS weights is broadcast, and a sentence's scores, labels and marginals
+are one pass over its features, without a shuffle. Of a larger one, scores of tokens are a join and an
+exact integer sum that Spark combines before its shuffle. Results are the same.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A bound on what is broadcast; a weight takes some tens of bytes.
+BROADCAST_WEIGHTS = 2_000_000
 BEGIN, INSIDE, SEPARATOR = "B_NAME_TOK", "I_NAME_TOK", "NAME_SEP"
 
 
@@ -31,6 +34,20 @@ class Model:
         one = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0))
         return w.agg(F.array(*[one(x) for x in self.labels]).alias("w"))
 
+    def table(self) -> tuple[dict[str, int], np.ndarray] | None:
+        """The row of each feature in a matrix of weights by label; None where there are too many."""
+        rows = self.weights.where("kind = 'emission'").select("feature", "label", "weight").limit(BROADCAST_WEIGHTS + 1).collect()
+        if len(rows) > BROADCAST_WEIGHTS:
+            return None
+        at, of = {x: i for i, x in enumerate(self.labels)}, {}
+        for r in rows:
+            of.setdefault(r.feature, len(of))
+        out = np.zeros((len(of) + 1, len(at)), np.int64)  # the last row: nothing known
+        for r in rows:
+            if r.label in at:
+                out[of[r.feature], at[r.label]] += r.weight
+        return of, out
+
     def transitions(self) -> np.ndarray:
         at = {x: i for i, x in enumerate(self.labels)}
         out = np.zeros((len(at), len(at)), np.int64)
@@ -92,6 +109,7 @@ def marginals(scores: np.ndarray, moves: np.ndarray, scale: float, zero: float)
     return np.exp(forward + backward - np.logaddexp.reduce(forward[-1]))
 
 
+LABELLED = "array<struct<label:string,score:double>>"
 # Labels of names, the first of equal ones first.
 NAME_LABELS = ("B_NAME_TOK", "I_NAME_TOK", "NAME_VAR", "NAME_MOD", "NAME_SEP")
 
@@ -125,20 +143,39 @@ def label(df: DataFrame, keys: list[str], features: str, model: Model, constrain
     names = tuple(labels.index(x) for x in (BEGIN, INSIDE, SEPARATOR)) if constrained else None
     moves, scale, zero = model.transitions(), model.scale, model.zero
 
-    @F.pandas_udf("array<struct<label:string,score:double>>")
-    def decode(sentences: pd.Series) -> pd.Series:
-        out = []
-        for rows in sentences:
-            m = np.stack(list(rows))
-            p = marginals(m, moves, scale, zero)
-            best = [labels[j] for j in viterbi(m, moves, names)]
-            if guess is not None:
-                best = guessed(best, p, labels, guess)
-            out.append([{"label": x, "score": float(p[t, labels.index(x)])} for t, x in enumerate(best)])
-        return pd.Series(out, dtype=object)
-
-    found = state_scores(df, keys, features, model, "_scores").select(*keys, decode("_scores").alias(out))
-    return df.join(found, keys, "left")
+    def decoded(m: np.ndarray) -> list[dict]:
+        p = marginals(m, moves, scale, zero)
+        best = [labels[j] for j in viterbi(m, moves, names)]
+        if guess is not None:
+            best = guessed(best, p, labels, guess)
+        return [{"label": x, "score": float(p[t, labels.index(x)])} for t, x in enumerate(best)]
+
+    known = model.table()
+    if known is None:
+
+        @F.pandas_udf(LABELLED)
+        def decode(sentences: pd.Series) -> pd.Series:
+            return pd.Series([decoded(np.stack(list(rows))) for rows in sentences], dtype=object)
+
+        found = state_scores(df, keys, features, model, "_scores").select(*keys, decode("_scores").alias(out))
+        return df.join(found, keys, "left")
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf(LABELLED)
+    def score(sentences: pd.Series) -> pd.Series:
+        of, weights = shared.value
+        none = len(weights) - 1
+        result: list[list[dict] | None] = []
+        for tokens in sentences:
+            if tokens is None or not len(tokens):
+                result.append(None)
+                continue
+            sets = [[of.get(f, none) for f in set(t)] if t is not None and len(t) else [none] for t in tokens]
+            starts = np.cumsum([0, *map(len, sets[:-1])])
+            result.append(decoded(np.add.reduceat(weights[[i for s in sets for i in s]], starts)))
+        return pd.Series(result, dtype=object)
+
+    return df.withColumn(out, score(features))
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:

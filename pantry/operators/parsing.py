@@ -116,16 +116,18 @@ def parse_labelled(words: Column, plural: Column, tags: Column, labels: Column,
 
 def tag_sentences(df: DataFrame, keys: list[str], sentence: str, lexicon: DataFrame, model: labelling.Model, options: ParseOptions = ParseOptions()) -> DataFrame:
     """df with `tokens`, `tags` and `labelled`, array<struct<label, score>>. `keys` name a row."""
-    cut = df.withColumn("tokens", tokens.tokenize(normalise.normalise(F.col(sentence))))
+    once = normalise.once
+    cut = once(once(df, "_text", normalise.normalise(F.col(sentence))), "tokens", tokens.tokenize("_text")).drop("_text")
     tagged = tagging.tag(cut, keys, "tokens", lexicon)
-    seen = tagged.withColumn("_features", features.sentence_features("tokens", "tags", stems.porter_stems(F.transform("tokens", tokens.feature_text))))
+    seen = once(tagged, "_stems", stems.porter_stems(F.transform("tokens", tokens.feature_text)))
+    seen = once(seen, "_features", features.sentence_features("tokens", "tags", "_stems")).drop("_stems")
     guess = 0.2 if options.expect_name_in_output else None
     return labelling.label(seen, keys, "_features", model, guess=guess).drop("_features")
 
 
 def parse(df: DataFrame, keys: list[str], sentence: str, lexicon: DataFrame, model: labelling.Model, options: ParseOptions = ParseOptions()) -> DataFrame:
     """df with what `tag_sentences` adds and `parsed`; a null sentence, or one without tokens, gives null."""
-    found = tag_sentences(df, keys, sentence, lexicon, model, options)
+    found = normalise.once(tag_sentences(df, keys, sentence, lexicon, model, options), "labelled", F.col("labelled"))
     singular = lambda t: F.coalesce(tokens.singular(t), t)
     one = F.transform("tokens", singular)
     many = F.transform("tokens", lambda t: tokens.singular(t).isNotNull() & (singular(t) != t))

@@ -12,6 +12,8 @@ from ..functions import stems as M
 from ..functions import tagging as G
 from ..functions import tokens as T
 from ..functions import units as U
+from ..functions.normalise import once
+from ..operators import labelling as L
 from ..operators import parsing as Z
 from ..operators import retrieval as R
 from ..operators import sequences as S
@@ -22,12 +24,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, such as one small file, dealt to all of them; any
+    other stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _tokens(c: str = "text"):
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def vocabulary(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.explode(T.tokenize("text")).alias("token"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(T.tokenize("text")).alias("token"))
     return docs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -38,14 +47,14 @@ def token_attributes(spark, sf_dir):
 
 
 def bm25(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", _tokens().alias("tokens"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", _tokens().alias("tokens"))
     items = _table(spark, sf_dir, "benchmark").select("item_id", _tokens().alias("tokens"))
     found = R.ranked(R.bm25(docs, items, "doc_id", "item_id"), 10, F.round("score", 6))
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def token_weights(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", _tokens().alias("tokens"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", _tokens().alias("tokens"))
     return R.token_weights(docs, "doc_id", "tokens").select("token", F.round("probability", 9).alias("probability"), F.round("weight", 6).alias("weight"))
 
 
@@ -69,10 +78,12 @@ def flags(spark, sf_dir):
 
 
 def evaluation(spark, sf_dir):
-    """Exact accuracy of a simple prediction on labelled rows, by language."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") > 300).cast("int").alias("predicted"))
-    found = docs.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("lang")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("predicted") == F.col("quality")).cast("double")), 6).alias("accuracy"))
+    """Exact accuracy of a simple prediction on labelled rows: a sentence per source, its documents in order."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 300).cast("int").cast("string").alias("guess"))
+    rows = docs.join(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("truth")), "doc_id")
+    by = rows.groupBy((F.col("doc_id") % 97).alias("sentence")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "truth", "guess"))).alias("r"))
+    found = L.accuracy(by.select(F.col("r.truth").alias("truth"), F.col("r.guess").alias("guess")), "truth", "guess")
+    return found.select(F.round("sentence", 6).alias("sentence"), F.round("token", 6).alias("token"))
 
 
 def tumbling(spark, sf_dir):
@@ -88,23 +99,24 @@ def unit_conversion(spark, sf_dir):
 
 
 def numeric_tokens(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenize("text").alias("t"))
+    turns = _spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", T.tokenize("text").alias("t"))
     return turns.select("conv_id", "turn", F.size(F.filter(F.col("t"), T.is_numeric)).cast("long").alias("numbers"))
 
 
 def tags(spark, sf_dir):
     """Tags of all words of the conversations by capitals, rules and overrides; the lexicon is an input
     that is not among the tables."""
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenize("text").alias("t"))
-    given = turns.withColumn("p", G.apply_rules("t", F.transform("t", G.default_tag)))
+    turns = _spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", T.tokenize("text").alias("t"))
+    given = once(once(turns, "t", F.col("t")), "p", G.apply_rules("t", F.transform("t", G.default_tag)))
     each = given.select(F.explode(G.override_tags("t", "p")).alias("tag"))
     return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feature_counts(spark, sf_dir):
     """How often each kind of feature stands in the conversations' tokens."""
-    turns = _table(spark, sf_dir, "conversations").select(T.tokenize("text").alias("t"))
-    given = turns.withColumn("p", G.override_tags("t", G.apply_rules("t", F.transform("t", G.default_tag))))
+    turns = _spread(_table(spark, sf_dir, "conversations").select("text")).select(T.tokenize("text").alias("t"))
+    ruled = once(once(turns, "t", F.col("t")), "p", G.apply_rules("t", F.transform("t", G.default_tag)))
+    given = once(ruled, "p", G.override_tags("t", "p"))
     each = given.select(F.explode(F.flatten(X.sentence_features("t", "p"))).alias("feature"))
     return each.groupBy(F.substring_index("feature", ":", 1).alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -121,7 +133,7 @@ def amounts(spark, sf_dir):
     words = F.concat(F.array(F.col("p_size").cast("string"), unit), F.split("p_name", " "))
     labels = F.transform(words, lambda _, i: F.when(i == 0, "QTY").when(i == 1, "UNIT").when(i == 2, "B_NAME_TOK").otherwise("I_NAME_TOK"))
     same = lambda x: F.transform(words, lambda _: F.lit(x))
-    found = _table(spark, sf_dir, "part").select("p_partkey", Z.parse_labelled(words, same(False), same("NN"), labels, same(0.5)).alias("x"))
+    found = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", Z.parse_labelled(words, same(False), same("NN"), labels, same(0.5)).alias("x"))
     part = F.col("x.amounts")[0]["parts"][0]
     return found.select("p_partkey", F.col("x.amounts")[0]["text"].alias("text"), part["value"].alias("value"), part["unit"].alias("unit"), part["unit_system"].alias("system"), F.col("x.names")[0]["text"].alias("name"))
 
@@ -145,8 +157,13 @@ _FLOAT = r"([+-]?(\p{Nd}+(_\p{Nd}+)*\.?(\p{Nd}+(_\p{Nd}+)*)?|\.\p{Nd}+(_\p{Nd}+)
 _WORDS = "(?i:" + "|".join(C.STRING_NUMBERS) + ")"
 _MARKED = r"\p{Nd}*#\p{Nd}+\$\p{Nd}+"
 _ONE = rf"(%s <> '00' AND regexp_full_match(%s, '{_FLOAT}|{_MARKED}|dozen|{_WORDS}'))"
-_NUMERIC = rf"""(regexp_full_match(x, '{_MARKED}(-{_MARKED})?|{_WORDS}') OR (contains(x, '-') AND len(list_filter(string_split(x, '-'), lambda y: NOT {_ONE % ("y", "y")})) = 0)
-    OR (NOT contains(x, '-') AND {_ONE % ("x", "x")}))"""
+
+
+def _numeric(x: str) -> str:
+    return rf"""(regexp_full_match({x}, '{_MARKED}(-{_MARKED})?|{_WORDS}') OR (contains({x}, '-') AND len(list_filter(string_split({x}, '-'), lambda y: NOT {_ONE % ("y", "y")})) = 0)
+    OR (NOT contains({x}, '-') AND {_ONE % (x, x)}))"""
+
+
 ORACLE_SQL = {
     "q_vocabulary": f"SELECT token, count(*) AS n FROM (SELECT unnest({_SPLIT}) AS token FROM documents) GROUP BY token",
     "q_token_attributes": f"""
@@ -187,8 +204,9 @@ WITH g AS (SELECT conv_id, turn, length(text) > 200 AS long,
              sum(CASE WHEN role <> 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations)
 SELECT conv_id, turn, max(long) OVER (PARTITION BY conv_id, k) AS any_long FROM g""",
     "q_evaluation": """
-SELECT lang, count(*) AS n, round(avg(CASE WHEN (n_chars > 300)::INTEGER = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
+WITH r AS (SELECT doc_id % 97 AS s, (n_chars > 300)::INTEGER = quality AS ok FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT s, count(*) AS n, count(*) FILTER (ok) AS k FROM r GROUP BY s)
+SELECT round(avg(CASE WHEN k = n THEN 1.0 ELSE 0.0 END), 6) AS sentence, round(sum(k) / sum(n), 6) AS token FROM g""",
     "q_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "q_unit_conversion": """
 WITH f(k, kind, factor) AS (VALUES (0, 'volume', 0.2365882365::DOUBLE), (1, 'mass', 28.349523125::DOUBLE), (2, 'volume', 0.01478676478125::DOUBLE)),
@@ -198,7 +216,25 @@ SELECT l_orderkey, l_linenumber,
 FROM v""",
     "q_numeric_tokens": rf"""
 WITH t AS (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations)
-SELECT conv_id, turn, len(list_filter(t, lambda x: {_NUMERIC})) AS numbers FROM t""",
+SELECT conv_id, turn, len(list_filter(t, lambda x: {_numeric('x')})) AS numbers FROM t""",
+    "q_tags": rf"""
+WITH w AS (SELECT conv_id, turn, unnest({_SPLIT}) AS x, generate_subscripts({_SPLIT}, 1) AS i FROM conversations),
+b AS (SELECT x, lag(x) OVER (PARTITION BY conv_id, turn ORDER BY i) AS p FROM w),
+a AS (SELECT *, CASE WHEN regexp_matches(x, '^[A-Z]') THEN 'NNP' ELSE 'NN' END AS t,
+        regexp_full_match(x, '([+-]?(Infinity|[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)')
+          OR (regexp_matches(x, '^[+-]?(Infinity|[0-9]+\.?[0-9]*|\.[0-9]+)') AND regexp_matches(regexp_extract(x, '^[+-]?(Infinity|[0-9]+\.?[0-9]*|\.[0-9]+)'), '[1-9I]')) AS num,
+        contains(x, '.') AND regexp_matches(x, '[a-zA-Z]{{2}}') AS url FROM b),
+r1 AS (SELECT *, CASE WHEN num THEN 'CD' ELSE t END AS t1 FROM a),
+r2 AS (SELECT *, CASE WHEN url AND t1 IN ('NN', 'NNP') THEN 'URL' ELSE t1 END AS t2 FROM r1),
+r3 AS (SELECT *, CASE WHEN t2 = 'NN' AND strpos(x, 'ed') = length(x) - 1 AND length(x) >= 2 THEN 'VBN' ELSE t2 END AS t3 FROM r2),
+r4 AS (SELECT *, CASE WHEN strpos(x, 'ly') = length(x) - 1 AND length(x) >= 2 THEN 'RB' ELSE t3 END AS t4 FROM r3),
+r5 AS (SELECT *, CASE WHEN t4 = 'NN' AND strpos(x, 'al') = length(x) - 1 AND length(x) >= 2 THEN 'JJ' ELSE t4 END AS t5 FROM r4),
+r6 AS (SELECT *, CASE WHEN t5 = 'NN' AND lower(p) = 'would' THEN 'VB' ELSE t5 END AS t6 FROM r5),
+r7 AS (SELECT *, CASE WHEN t6 = 'NN' AND strpos(x, 's') = length(x) THEN 'NNS' ELSE t6 END AS t7 FROM r6),
+r8 AS (SELECT *, CASE WHEN t7 = 'NN' AND strpos(x, 'ing') = length(x) - 2 AND length(x) >= 3 THEN 'VBG' ELSE t7 END AS t8 FROM r7),
+o AS (SELECT CASE WHEN {_numeric('x')} THEN 'CD' WHEN lower(x) IN ('c', 'g') THEN 'NN' WHEN lower(x) IN ('and/or', 'or', 'and') THEN 'CC' WHEN lower(x) = 'e.g.' THEN 'IN'
+        WHEN lower(x) = '/' THEN 'SYM' WHEN x = 'in' AND coalesce({_numeric('p')}, false) THEN 'NN' ELSE t8 END AS tag FROM r8)
+SELECT tag, count(*) AS n FROM o GROUP BY tag""",
     "q_amounts": """
 WITH u(k, one, many, unit, system) AS (VALUES (0, 'cup', 'cups', 'cup', 'us_customary'), (1, 'oz', 'oz', 'ounce', 'us_customary'),
   (2, 'clove', 'cloves', NULL, 'other'), (3, 'tbsp', 'tbsps', 'tablespoon', 'us_customary'))

@@ -65,3 +65,21 @@ def test_rules_see_final_tags_before_and_given_tags_after(spark):
     rules = [("A", "B", "NEXT-TAG", "A"), ("A", "C", "PREV-TAG", "B")]
     [row] = spark.createDataFrame([(["x", "y", "z"], ["A", "A", "A"])], "t array<string>, g array<string>").select(tagging.apply_rules("t", "g", rules).alias("o")).collect()
     assert row.o == ["B", "B", "C"]
+
+
+def test_broadcast_and_join_agree(spark, monkeypatch):
+    import bench
+    from pantry.functions import tagging
+    from pantry.operators import parsing
+
+    rows = [(i, t) for i, t in enumerate(["2 cups Sugar, chopped", "1 small Onion (½ cup) to taste", "", None, "12 oz word3 word4 word5"])]
+    df = spark.createDataFrame(rows, "k int, s string")
+    run = lambda: [tuple(r) for r in parsing.tag_sentences(df, ["k"], "s", *bench.toy_model(spark)).select("k", "tokens", "tags", "labelled").orderBy("k").collect()]
+    fast = run()
+    monkeypatch.setattr(L, "BROADCAST_WEIGHTS", 5)
+    monkeypatch.setattr(tagging, "BROADCAST_WORDS", 1)
+    slow = run()
+    assert [r[:3] for r in fast] == [r[:3] for r in slow]
+    for a, b in zip(fast, slow):
+        assert [x.label for x in a[3] or ()] == [x.label for x in b[3] or ()] and all(abs(x.score - y.score) < 1e-9 for x, y in zip(a[3] or (), b[3] or ()))
+    assert fast[3][1:] == (None, None, None) and fast[0][3][0].label == "QTY"
