@@ -12,7 +12,7 @@ from ..functions import stems as M
 from ..functions import tagging as G
 from ..functions import tokens as T
 from ..functions import units as U
-from ..functions.normalise import once
+from ..functions.normalise import normalise, once
 from ..operators import labelling as L
 from ..operators import parsing as Z
 from ..operators import retrieval as R
@@ -90,6 +90,20 @@ def tumbling(spark, sf_dir):
     return E.tumbling(_table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def normalised(spark, sf_dir):
+    """A raw sentence per part, in eight shapes by its key: signs, entities, dashes, ranges, units and prices to rewrite."""
+    part = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"))
+    n, name = F.col("p_size").cast("string"), F.col("p_name")
+    more = lambda k: (F.col("p_size") + k).cast("string")
+    shapes = (
+        (n, "½ cups ", name, " ($", n, ".50*)"), (n, "g &amp; ", n, "oz. ", name), (n, " to ", more(2), " tbsp. ", name), (n, " — ", name, " – chopped"),
+        (n, " and 1/4 lb ", name), (n, " g - ", more(1), " g ", name), (n, " x ", n, "-ounce ", name), ("two-cup ", name, ", ", n, " - ", more(3)),
+    )
+    text = [F.concat(F.lit("  "), *[F.lit(x) if isinstance(x, str) else x for x in shape], F.lit(" ")) for shape in shapes]
+    sentence = F.element_at(F.array(*text), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return part.select("p_partkey", normalise(sentence).alias("sentence"))
+
+
 def unit_conversion(spark, sf_dir):
     """Quantities as cups, ounces and tablespoons, in millilitres or by water's density in grams."""
     source = F.element_at(F.array(*[F.lit(u) for u in ("cup", "oz", "tbsp")]), F.col("l_linenumber") % 3 + 1)
@@ -150,6 +164,7 @@ QUERIES = {
     "q_islands": islands, "q_spread_flags": flags, "q_evaluation": evaluation, "q_tumbling": tumbling,
     "q_unit_conversion": unit_conversion, "q_numeric_tokens": numeric_tokens, "q_tags": tags, "q_feature_counts": feature_counts,
     "q_stems": stemmed, "q_amounts": amounts, "q_unit_expressions": expressions,
+    "q_normalise": normalised,
 }
 _PIECES = r"regexp_extract_all(text, '[()\[\]{},/:;?!*~]|[^\s()\[\]{},/:;?!*~]+')"
 _SPLIT = rf"flatten(list_transform({_PIECES}, lambda t: CASE WHEN ends_with(t, '.') AND length(t) > 1 AND NOT regexp_matches(t, '\.[\pL\pN_]\.$') THEN [t[:length(t) - 1], '.'] ELSE [t] END))"
@@ -241,6 +256,17 @@ WITH u(k, one, many, unit, system) AS (VALUES (0, 'cup', 'cups', 'cup', 'us_cust
 SELECT p_partkey, p_size || ' ' || CASE WHEN p_size = 1 THEN one ELSE many END AS text, CAST(p_size AS DOUBLE) AS value,
   coalesce(unit, CASE WHEN p_size = 1 THEN one ELSE many END) AS unit, system, p_name AS name
 FROM part JOIN u ON k = p_partkey % 4""",
+    "q_normalise": """
+SELECT p_partkey, CASE p_partkey % 8
+  WHEN 0 THEN p_size || '#1$2 cups ' || p_name
+  WHEN 1 THEN p_size || ' g & ' || p_size || ' oz ' || p_name
+  WHEN 2 THEN p_size || '-' || (p_size + 2) || ' tbsp ' || p_name
+  WHEN 3 THEN p_size || '  -  ' || p_name || ' - chopped'
+  WHEN 4 THEN p_size || '#1$4 lb ' || p_name
+  WHEN 5 THEN p_size || '-' || (p_size + 1) || ' g ' || p_name
+  WHEN 6 THEN p_size || 'x ' || p_size || ' ounce ' || p_name
+  ELSE 'two cup ' || p_name || ', ' || p_size || '-' || (p_size + 3) END AS sentence
+FROM part""",
     "q_unit_expressions": """
 SELECT c_custkey, round((c_acctbal - 32) * 5 / 9, 4) AS celsius, round(c_acctbal * (453.59237::DOUBLE / 236.5882365::DOUBLE), 4) AS density FROM customer""",
 }

@@ -22,6 +22,15 @@ def test_bm25_by_hand(spark):
     assert row.doc == 1 and math.isclose(row.score, 2 * math.log(2) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)))
 
 
+def test_only_documents_that_share_a_noun(spark):
+    docs = spark.createDataFrame([(1, ["fig", "jam"]), (2, ["jam"]), (3, []), (4, None), (5, ["fig", "fig"])], "id int, nouns array<string>")
+    asked = spark.createDataFrame([("a", ["fig", "pie"]), ("b", None), ("c", ["jam", "fig"])], "name string, nouns array<string>")
+    scores = spark.createDataFrame([(q, d, float(d)) for q in "abc" for d in range(1, 6)], "query string, doc int, score double")
+    kept = R.sharing(scores, docs, asked, "id", "name")
+    assert sorted((r.query, r.doc) for r in kept.collect()) == [("a", 1), ("a", 5), ("c", 1), ("c", 2), ("c", 5)]
+    assert {(r.query, r.doc): r["rank"] for r in R.ranked(kept).collect()}[("c", 1)] == 3
+
+
 def test_fusion_and_islands(spark):
     a = spark.createDataFrame([(1, "x", 3.0), (1, "y", 1.0)], "query int, doc string, score double")
     b = spark.createDataFrame([(1, "y", 5.0)], "query int, doc string, score double")
