@@ -118,7 +118,8 @@ def links(fps: DataFrame, max_bits: int = 4, blocks: int = 7, chunk_rows: int =
     """fps(fp), distinct -> (u, v): verified links whose components are those of all pairs that
     differ in at most max_bits bits."""
     dealt = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, max_bits)).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Spark takes exploded rows for as few as those of `fps` and would broadcast keys that the driver cannot hold
+    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge")
     chunks = f"cast(ceil(n / {chunk_rows}) AS int)"
     met = (
         dealt.join(shared, "key")

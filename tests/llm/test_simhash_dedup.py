@@ -97,3 +97,12 @@ def test_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stay = {r[3] for r in brute(rows)}
     assert {r.doc_id for r in S.keep_one(df).collect()} == stay
+
+
+def test_shared_keys_are_not_broadcast(spark, tmp_path):
+    """A small table of fingerprints has 35 times as many keys, which Spark's estimate leaves out."""
+    spark.range(300_000).selectExpr("xxhash64(id DIV 2) ^ (id % 2) AS fp").write.parquet(f"{tmp_path}/fps")
+    found = S.links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 150_000
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
