@@ -2,7 +2,8 @@
 
 1. quality: documents that the compression classifier rejects go.
 2. lines: lines that an earlier document has in an aligned block are taken out of the text.
-3. near_duplicates: of each group of documents that pairs at Jaccard 0.8 or more over shingles of five words connect, one stays.
+3. near_duplicates: of each group of documents that pairs at Jaccard 0.8 or more over shingles of five words connect, one stays;
+   SimHash with pigeonhole blocks names pairs first, MinHash and a prefix filter the rest, and whole sets decide.
 4. benchmark: documents that hold a passage of the benchmark go, however long they are.
 5. tokens: what is left is encoded; the ids are the result.
 
@@ -44,7 +45,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words are compared, five at a time; rows stay as they are."""
-    return shingle_dedup.keep_one(docs, shingle_words=5, percent=80)
+    return shingle_dedup.keep_one(docs, shingle_words=5, percent=80, max_bits=4, blocks=7)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

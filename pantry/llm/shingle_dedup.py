@@ -1,11 +1,16 @@
 """Near duplicates by the Jaccard similarity of word shingles.
 
-1. A text is the set of the XXH64 values of its word shingles (the words of simhash_dedup). Texts
+1. A text is the set of the XXH64 values of its word shingles (those of simhash_dedup). Texts
    with equal sets fall together in one aggregation and are one node from here on.
-2. Candidates: MinHash in `bands` bands of `rows` values. A pair at similarity s shares a band with
+2. Candidates by SimHash: every text has its fingerprint of simhash_dedup, over the shingles of this stage, and the
+   pigeonhole blocks there find what differs in at most `max_bits` bits. Each link found is decided on the whole
+   sets, so a fingerprint alone links nothing. A SimHash of 64 bits does not reach down to 0.8: such pairs differ
+   in 10 bits on average and often in 16, and then only single blocks of 4 bits are sure to agree. The rest of the
+   pairs are found by 3 and 4.
+3. MinHash in `bands` bands of `rows` values. A pair at similarity s shares a band with
    probability 1 - (1 - s^rows)^bands: at 0.8 all but 3 in a million pairs do, above it more. The texts of
-   a band are held against one of them.
-3. What shares a band and is not connected by then goes through a prefix filter, which loses nothing: with
+   a band are held against one of them, as far as nothing connects them yet.
+4. What shares a band and is not connected by then goes through a prefix filter, which loses nothing: with
    shingles in any one order, two sets at 0.8 share one of the first fifth (and one more) of either. The order
    is by frequency, the rare first, so that texts which have a frequent passage or a common origin in common,
    and less than 0.8 on the whole, mostly share none. Frequencies are counts by hash in SLOTS slots, a table
@@ -15,12 +20,9 @@
    hash, and two sets differ in as many values at least as their bitmaps in bits (Sandes et al., "A bitmap filter
    for set similarity joins", 2020). So what goes on to be compared as sets no longer grows with the square
    of a group of such texts, as long as they have up to about 1,000 shingles; the join still meets those pairs itself.
-4. Every candidate pair is decided on the whole sets, so nothing below the bound is linked. A pair is passed
+5. Every candidate pair is decided on the whole sets, so nothing below the bound is linked. A pair is passed
    over only if links connect it already, so the components are those of all candidate pairs.
-5. Components over the links.
-
-A SimHash of 64 bits is no help at 0.8: such pairs differ in 10 bits on average and often in 16,
-and then only single blocks of 4 bits are sure to agree.
+6. Components over the links.
 
 Defined results for odd rows: null, empty and blank texts have the empty set, and are equal to each
 other and similar to nothing else. A text with fewer words than a shingle is one shingle. Rows
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import cut_batches, forget, stored
 from .components import connected_components
 
@@ -50,15 +53,7 @@ MARKS = 8
 
 def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
     """The set of a text, sorted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle_words + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n))
+    return np.unique(simhash_dedup.shingle_hashes(text, shingle_words))
 
 
 def node(values: np.ndarray) -> int:
@@ -92,18 +87,31 @@ def with_bands(docs: DataFrame, shingle_words: int, bands: int, rows: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut_batches(whole, 2, 1 << 20):
-                sets = [shingles(x.as_py(), shingle_words) for x in batch.column(2)]
+                hashes = [simhash_dedup.shingle_hashes(x.as_py(), shingle_words) for x in batch.column(2)]
+                sets = [np.unique(h) for h in hashes]
+                fps = np.array([simhash_dedup.majority(h) for h in hashes], np.uint64).view(np.int64)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys = band_keys([sets[i] for i in some], bands, rows).view(np.int64)
                 each: list = [[] for _ in sets]
                 for i, k in zip(some, keys):
                     each[i] = k
-                got = [pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(each, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *got], ["doc_id", "tag", "node", "n", "bands"])
+                got = [pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(each, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *got], ["doc_id", "tag", "node", "n", "fp", "bands"])
 
     text = F.col("text").cast("string")
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    return tagged.mapInArrow(run, "doc_id long, tag long, node long, n int, bands array<long>")
+    return tagged.mapInArrow(run, "doc_id long, tag long, node long, n int, fp long, bands array<long>")
+
+
+def near_fingerprints(marked: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """marked(node, n, fp) -> pairs (node, n, other, m) that connect all nodes which fingerprints that differ in at most
+    max_bits bits connect. The empty set takes no part."""
+    own = marked.where("n > 0").select("node", "n", "fp").distinct()
+    least = own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("l")).selectExpr("fp", "l.node AS other", "l.n AS m")
+    equal = own.join(least, "fp").select("node", "n", "other", "m")
+    found = simhash_dedup.links(least.select("fp"), max_bits, blocks)
+    one = least.selectExpr("fp AS u", "other AS node", "m AS n")
+    return equal.union(found.join(one, "u").join(least.withColumnRenamed("fp", "v"), "v").select("node", "n", "other", "m")).where("node <> other")
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, shingle_words: int) -> DataFrame:
@@ -211,6 +219,10 @@ class Links:
         done = [found] if self.roots is None else [found, self.roots]
         self.roots = stored(connected_components(edges), "roots", *done)
 
+    def near(self, pairs: DataFrame) -> None:
+        """pairs(node, n, other, m), the first to be tried."""
+        self._try(pairs.withColumns({"root": F.col("node"), "its": F.col("other")}))
+
     def star(self, shared: DataFrame, turn: int) -> None:
         """Of each key, every node with one of them."""
         now = _grouped(shared, self.roots)
@@ -226,21 +238,24 @@ class Links:
         forget(open_)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, max_bits: int = 4, blocks: int = 7) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id), a row per row of docs; component_id is the
     smallest doc_id that can be reached over pairs at `percent` or more, the row's own included."""
     marked = stored(with_bands(docs, shingle_words, bands, rows), "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     distinct = marked.groupBy("node").agg(first.alias("t")).select("node", F.col("t.doc_id").alias("doc_id"), F.col("t.tag").alias("tag"))
+    near = stored(near_fingerprints(marked, max_bits, blocks), "near")
     dealt = marked.select("node", "n", F.explode("bands").alias("key")).distinct()
     several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     shared = stored(dealt.join(several, "key"), "shared")
-    chosen = distinct.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "tag")
+    met = shared.select("node").union(near.select("node")).union(near.select("other")).distinct()
+    chosen = distinct.join(met, "node", "left_semi").select("doc_id", "tag")
     sets = stored(sets_of(docs, chosen, shingle_words), "sets")
     links = Links(sets, percent)
+    links.near(near)
     links.star(shared, 0)
     left = stored(_unconnected(_grouped(shared, links.roots)).select("node").distinct(), "left")
-    of_left = stored(sets.join(left, "node", "left_semi"), "sets", left, shared)
+    of_left = stored(sets.join(left, "node", "left_semi"), "sets", left, shared, near)
     rare = prefixes(of_left, percent)
     links.star(rare, 1)
     links.rest(rare)

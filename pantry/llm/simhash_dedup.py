@@ -37,21 +37,30 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> int:
-    """The fingerprint of one text as an unsigned integer."""
+def shingle_hashes(text: str | None, shingle_words: int = 4) -> np.ndarray:
+    """The XXH64 of each word shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle_words + 1)
     digest = xxhash.xxh64_intdigest
-    values = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the values; of none, zero."""
     counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(values), 1 << 16):
         counts += np.unpackbits(values[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle_words: int = 4) -> int:
+    """The fingerprint of one text as an unsigned integer."""
+    return majority(shingle_hashes(text, shingle_words))
 
 
 def with_fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:

@@ -124,3 +124,31 @@ def test_group_of_copies_that_are_not_similar_enough(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in D.near_duplicates(df).collect()} == components(rows)
+
+
+def test_simhash_names_candidates_first(spark, monkeypatch):
+    """The stage asks SimHash's blocks, over fingerprints of five words; what they connect is what brute force over fingerprints does."""
+    rows = fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, own = [], D.simhash_dedup.links
+    monkeypatch.setattr(D.simhash_dedup, "links", lambda fps, *more: asked.append(({r.fp % 2**64 for r in fps.collect()}, more)) or own(fps, *more))
+    stage = dict(importlib.import_module("corpus_pipeline").STAGES)["near_duplicates"]
+    stage(spark, df, "")
+    prints = {D.simhash_dedup.fingerprint(t, 5) for _, t in rows if (t or "").split()}
+    assert asked == [(prints, (4, 7))]
+
+    fp_of = {D.node(D.shingles(t)): D.simhash_dedup.fingerprint(t, 5) for _, t in rows if (t or "").split()}
+    root = {x: x for x in fp_of}
+
+    def join(pairs):
+        at = dict(root)
+        for _ in at:
+            before = dict(at)
+            for a, b in pairs:
+                at[a] = at[b] = min(at[a], at[b])
+            if at == before:
+                return at
+
+    want = [(a, b) for a in fp_of for b in fp_of if a < b and (fp_of[a] ^ fp_of[b]).bit_count() <= 4]
+    got = [(r.node, r.other) for r in D.near_fingerprints(D.with_bands(df, 5, 4, 5), 4, 7).collect()]
+    assert want and all((fp_of[a] ^ fp_of[b]).bit_count() <= 4 for a, b in got) and join(got) == join(want)
