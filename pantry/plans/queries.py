@@ -131,8 +131,7 @@ def feature_counts(spark, sf_dir):
     turns = _spread(_table(spark, sf_dir, "conversations").select("text")).select(T.tokenize("text").alias("t"))
     ruled = once(once(turns, "t", F.col("t")), "p", G.apply_rules("t", F.transform("t", G.default_tag)))
     given = once(ruled, "p", G.override_tags("t", "p"))
-    each = given.select(F.explode(F.flatten(X.sentence_features("t", "p"))).alias("feature"))
-    return each.groupBy(F.substring_index("feature", ":", 1).alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    return X.feature_kinds(given, "t", "p")
 
 
 def stemmed(spark, sf_dir):

@@ -1,5 +1,8 @@
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from pantry.functions import features, structure
 from pantry.functions import tokens as T
 
@@ -46,3 +49,21 @@ def test_features(spark):
     }
     assert {"is_after_comma", "prefix_3:war", "suffix_3:arm", "prev_is_punc", "prev3_is_unit"} <= set(got[1][4])
     assert len(set(got[1][4])) == len(got[1][4])
+
+
+def test_pieces_bound_what_is_held(spark):
+    sentence = {"words": ["a"] * 100}
+    rows = [sentence] * 300 + [{"words": None}, {"words": []}, {"words": ["a"] * 9000}, sentence]
+    cut = list(features._pieces(pa.array(rows, pa.struct([("words", pa.list_(pa.string()))]))))
+    assert [x for piece in cut for x in piece.to_pylist()] == rows
+    held = [sorted(len(x["words"] or ()) for x in piece.to_pylist()) for piece in cut]
+    assert max(sum(x[:-1]) for x in held) <= features.PIECE
+
+
+def test_kinds_are_counted_as_the_features_are(spark):
+    data = [(["2", "Cups", "milk", ",", "warm", "(", "or", "cream", ")"], ["CD", "NNS", "NN", ",", "JJ", "(", "CC", "NN", ")"])] * 700 + [([], []), (None, None), ([":", "x:y"], ["NN", "NN"])]
+    df = spark.createDataFrame(data, "t array<string>, p array<string>").coalesce(1)
+    each = df.select(F.explode(F.flatten(features.sentence_features("t", "p"))).alias("f"))
+    want = each.groupBy(F.substring_index("f", ":", 1)).count().collect()
+    got = features.feature_kinds(df, "t", "p").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) > 40
