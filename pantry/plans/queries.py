@@ -14,6 +14,7 @@ from ..functions import tokens as T
 from ..functions import units as U
 from ..functions.normalise import normalise, once
 from ..operators import labelling as L
+from ..operators import nearest as N
 from ..operators import parsing as Z
 from ..operators import retrieval as R
 from ..operators import sequences as S
@@ -59,12 +60,9 @@ def token_weights(spark, sf_dir):
 
 
 def cosine(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    # the stated queries against all rows; the rows stay where they are, the queries are the side that is sent
-    pairs = v.select(F.col("vec_id").alias("doc"), "embedding").join(q, F.col("doc") != F.col("query"))
-    found = R.ranked(pairs.select("query", "doc", F.round(R.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("score")), 10, ascending=True)
-    return found.select("query", "doc", "rank", "score")
+    v = _table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("doc"), F.col("embedding").alias("v"))
+    q = v.where("doc % 100 = 0").select(F.col("doc").alias("query"), "v")
+    return R.ranked(N.nearest(q, v, 10), 10, ascending=True).select("query", "doc", "rank", "score")
 
 
 def islands(spark, sf_dir):
