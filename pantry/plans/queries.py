@@ -50,8 +50,8 @@ def token_attributes(spark, sf_dir):
 def bm25(spark, sf_dir):
     docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", _tokens().alias("tokens"))
     items = _table(spark, sf_dir, "benchmark").select("item_id", _tokens().alias("tokens"))
-    found = R.ranked(R.bm25(docs, items, "doc_id", "item_id"), 10, F.round("score", 6))
-    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    found = R.bm25_top(docs, items, "doc_id", "item_id", 10)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
 
 
 def token_weights(spark, sf_dir):

@@ -1,6 +1,11 @@
 import json
 import math
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 import __spark_entry__ as entry
 from pantry.operators import retrieval as R
 from pantry.operators import sequences as S
@@ -55,3 +60,31 @@ def test_readers(spark, tmp_path):
 def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["token", "n"]
+
+
+def test_best_of_bm25_needs_no_row_for_each_pair_and_equals_sql(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(3)
+    some = lambda n: " ".join(f"w{min(int(x), 60)}" for x in r.zipf(1.3, n))
+    docs = [(i, some(int(r.integers(1, 40)))) for i in range(400)] + [(500 + i, "all w1 w2") for i in range(30)]
+    docs += [(3, some(9)), (3, ""), (None, "w1 w7"), (None, "w9"), (900, ""), (901, None), (902, "?")]
+    docs = [(i, t if t is None else t + " each") for i, t in docs if t != "?"]
+    items = [(i, some(12) + " Each each") for i in range(15)] + [(20, ""), (21, None), (22, "absent"), (23, "each"), (4, some(3))]
+    pq.write_table(pa.table({"doc_id": [x[0] for x in docs], "text": [x[1] for x in docs]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [x[0] for x in items], "text": [x[1] for x in items]}), tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["q_bm25"]).fetchall())
+    for block, held in ((R.BLOCK, R.HELD), (50, 64)):
+        monkeypatch.setattr(R, "BLOCK", block)
+        monkeypatch.setattr(R, "HELD", held)
+        found = entry.queries()["q_bm25"](spark, str(tmp_path))
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(x) for x in found.collect()) == want
+
+
+def test_best_of_bm25_over_nothing(spark):
+    docs = spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", None)], "doc string, tokens array<string>")
+    q = spark.createDataFrame([("k", ["y", "y"]), (None, ["x"])], "q string, tokens array<string>")
+    assert {(r.query, r.doc, r.score) for r in R.bm25_top(docs, q, "doc", "q", 3).collect()} == {("k", "a", 0.0), (None, "a", 0.0)}
+    assert R.bm25_top(docs.limit(0), q, "doc", "q").count() == 0 and R.bm25_top(docs, q.limit(0), "doc", "q").count() == 0
